@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import decontaminate, license_scan, mixing, ngram_join, pii, toxicity
+from wakeline.llm import decontaminate, license_scan, mixing, ngram_join, pii, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"), pii.fit_pii(spark))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op3_decontamination": op3_decontamination,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op6_warc": op6_warc,
     "op7_pii": op7_pii,
     "op8_toxicity": op8_toxicity,
     "op10_mixing": op10_mixing,
@@ -52,5 +57,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": license_scan.ORACLE_SQL,
+    "op6_warc": warc.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
 }
