@@ -23,6 +23,7 @@ import math
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from wakeline.llm.common import WordHash, checked_join, materialise, mix
 
 SIMILARITY, TARGET_RECALL, MIN_WORDS, ITEM_BLOCK = 0.8, 0.99, 5, 4000
 WALKS, SAMPLED, MOST_REPETITIONS, REACH = 8, 3, 256, 1.6
-BATCH_WORDS, BITMAP = 1_000_000, 1 << 22
+BATCH_WORDS, BITMAP, UNKNOWN = 1_000_000, 1 << 22, 2
 _SPACES = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
 
 
@@ -68,7 +69,7 @@ def key_of(symbols: np.ndarray, length: int, repetition: int) -> np.ndarray:
 
 
 def pair_hash(flat: np.ndarray) -> np.ndarray:
-    return mix(flat[:-1] * np.uint64(0x9E3779B97F4A7C15) + flat[1:])
+    return (flat[:-1] * np.uint64(0x9E3779B97F4A7C15) + flat[1:]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)
 
 
 @dataclass
@@ -80,6 +81,12 @@ class Index:
     owner: np.ndarray
     repetitions: int
     similarity: float
+    vocabulary: dict[bytes, int]  # hashes of the words of all items
+    seen: np.ndarray  # bitmap of the keys
+
+    def array(self, words: list[bytes]) -> np.ndarray:
+        """Hashes of words; those in no item are all alike, as they match nothing."""
+        return np.fromiter(map(self.vocabulary.get, words, repeat(UNKNOWN)), np.uint64, len(words))
 
 
 def repetitions_for(items: list[np.ndarray], similarity: float, target: float) -> int:
@@ -115,7 +122,9 @@ def build_index(items: list[tuple[int, str]], similarity: float = SIMILARITY, ta
         owner += [k] * r
     keys, owner = np.concatenate(keys), np.array(owner)
     order = np.argsort(keys, kind="stable")
-    return Index(np.array([i for i, _ in kept], np.int64), words, pairs, keys[order], owner[order], r, similarity)
+    seen = np.zeros(BITMAP, np.bool_)
+    seen[(keys & np.uint64(BITMAP - 1)).astype(np.int64)] = True
+    return Index(np.array([i for i, _ in kept], np.int64), words, pairs, keys[order], owner[order], r, similarity, dict(h), seen)
 
 
 def edits(items: np.ndarray, regions: np.ndarray) -> np.ndarray:
@@ -135,23 +144,29 @@ def find(index: Index, docs: list[np.ndarray]) -> list[tuple[int, int, int]]:
     if not n.sum():
         return []
     flat = np.concatenate([*docs, np.zeros(1, np.uint64)])
-    first = np.concatenate([[0], np.cumsum(n)])
-    doc = np.repeat(np.arange(len(docs)), n)
-    end = first[doc + 1]
-    hit = np.zeros(len(doc) + 1, np.int32)
-    hit[1:] = index.pairs[(pair_hash(flat) & np.uint64(BITMAP - 1)).astype(np.int64)][: len(doc)]
+    first = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    hit = np.zeros(len(flat), np.int32)
+    hit[1:] = index.pairs[(pair_hash(flat) & np.uint64(BITMAP - 1)).astype(np.int64)]
     hit[first[1:][n > 0]] = 0  # a pair does not reach over the end of a document
-    hit = np.cumsum(hit)
+    hit = np.cumsum(hit, dtype=np.int32)
     lengths = sorted({len(w) for w in index.words})
-    least = min(max(0, m - 1 - 2 * bound(m, index.similarity)) for m in lengths)
-    alive = np.flatnonzero((hit[first[1:]] - hit[first[:-1]] >= least)[doc])
+    need = {m: m - 1 - 2 * bound(m, index.similarity) for m in lengths}
+    least, used = max(0, min(need.values())), n > 0
+    used[used] = (hit[np.maximum(first[1:] - 1, 0)] - hit[first[:-1]])[used] >= least
+    doc = np.repeat(np.arange(len(docs), dtype=np.int32), n)
+    end = first[doc + 1]
+    alive = np.flatnonzero(np.repeat(used, n)).astype(np.int32)
     chosen, open_ = [], {}
-    for m in lengths:
-        k = bound(m, index.similarity)
-        upto = np.minimum(alive + m + k, end[alive])
-        s = alive[(hit[np.maximum(upto - 1, alive)] - hit[alive] >= m - 1 - 2 * k) & (upto - alive >= m - k)]
-        if len(s):
-            open_[m] = s
+    for group in (lengths[i : i + 8] for i in range(0, len(lengths), 8)):
+        # What all of these lengths need, within the window of the longest; then each length by itself.
+        widest = max(m + bound(m, index.similarity) for m in group)
+        some = alive[hit[np.minimum(alive + (widest - 1), end[alive] - 1)] - hit[alive] >= min(need[m] for m in group)]
+        for m in group:
+            k = bound(m, index.similarity)
+            upto = np.minimum(some + (m + k), end[some])
+            s = some[(hit[upto - 1] - hit[some] >= need[m]) & (upto - some >= m - k)]
+            if len(s):
+                open_[m] = s
     if not open_:
         return []
     starts = np.unique(np.concatenate(list(open_.values())))
@@ -164,13 +179,13 @@ def find(index: Index, docs: list[np.ndarray]) -> list[tuple[int, int, int]]:
             if not len(rows):
                 continue
             for rep in range(index.repetitions):
-                key = key_of(walks[rep % WALKS][rows][:, sampled_steps(m, rep)], m, rep)
-                lo, hi = np.searchsorted(index.keys, key), np.searchsorted(index.keys, key, "right")
-                got = np.flatnonzero(hi > lo)
-                if len(got):
-                    count = hi[got] - lo[got]
-                    owner = index.owner[np.repeat(lo[got] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
-                    chosen.append(np.column_stack([np.repeat(part[rows[got]], count), owner]))
+                key = key_of(walks[rep % WALKS][rows[:, None], sampled_steps(m, rep)], m, rep)
+                maybe = np.flatnonzero(index.seen[(key & np.uint64(BITMAP - 1)).astype(np.int64)])
+                if len(maybe):
+                    lo, hi = np.searchsorted(index.keys, key[maybe]), np.searchsorted(index.keys, key[maybe], "right")
+                    count = hi - lo
+                    owner = index.owner[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())]
+                    chosen.append(np.column_stack([np.repeat(part[rows[maybe]], count), owner]))
     if not chosen:
         return []
     cand = np.unique(np.concatenate(chosen), axis=0)
@@ -193,12 +208,11 @@ def find(index: Index, docs: list[np.ndarray]) -> list[tuple[int, int, int]]:
 
 def _search(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = WordHash()
         for batch in batches:
             held, ids, n, out = [], [], 0, []
             texts, names = batch.column("text"), batch.column("doc_id").to_pylist()
             for at, name in enumerate(names):
-                held.append(h.array(words_of(texts[at].as_py())))
+                held.append(index.array(words_of(texts[at].as_py())))
                 ids.append(name)
                 n += len(held[-1])
                 if n >= BATCH_WORDS or at == len(names) - 1:
