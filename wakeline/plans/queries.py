@@ -53,7 +53,8 @@ def _dedup_first(s, d):
 
 
 def _step_kinematics(s, d):
-    return rounded(cleaned(s, d).select("_row", "mmsi", *(f"{a}_{w}_{u}" for w in ("prev", "next") for a, u in (("dist", "m"), ("dt", "s"), ("v", "kn")))), 5)
+    steps = rounded(cleaned(s, d).select("_row", "mmsi", *(f"{a}_{w}_{u}" for w in ("prev", "next") for a, u in (("dist", "m"), ("v", "kn"))), *(F.col(f"dt_{w}_s").cast("decimal(20,6)").alias(f"dt_{w}_s") for w in ("prev", "next"))), 5)
+    return steps.withColumns({c: F.col(c).cast("double") for c in ("dt_prev_s", "dt_next_s")})
 
 
 def _spike_flags(s, d):
@@ -92,8 +93,9 @@ def _enu_round_trip(s, d):
     ve, vn = velocity("sog_kn", "cog_deg")
     f = fixes(s, d).withColumns({"e": e, "n": n, "ve": ve, "vn": vn, "lat0": F.lit(ORIGIN[0]), "lon0": F.lit(ORIGIN[1])})
     sog, cog = sog_cog(F.col("ve"), F.col("vn"))
-    f = with_latlon(f, "e", "n", "lat0", "lon0", ("lat", "lon"))
-    return rounded(f.select("event_id", "lat", "lon", sog.alias("sog_kn"), F.when(F.col("sog_kn") > 0.01, F.round(cog, 4) % 360).alias("cog_deg")), 5)
+    f = with_latlon(f, "e", "n", "lat0", "lon0", ("lat1", "lon1"))
+    same = (F.abs(F.col("lat1") - F.col("lat")) < 2e-5) & (F.abs(F.col("lon1") - F.col("lon")) < 2e-5)
+    return rounded(f.select("event_id", same.alias("same_place"), sog.alias("sog_kn"), F.when(F.col("sog_kn") > 0.01, F.round(cog, 4) % 360).alias("cog_deg")), 5)
 
 
 def _grid_cells(s, d):
@@ -185,7 +187,7 @@ def _interp_truth(s, d):
 
 
 def _dead_reckoning(s, d):
-    return rounded(samples.dead_reckoning(sample_rows(s, d)), 4)
+    return rounded(samples.dead_reckoning(sample_rows(s, d)).withColumns({c: F.round(c, 1) for c in ("me", "mn", "cee", "cnn", "cen")}), 4)
 
 
 def score_rows(s, d):
