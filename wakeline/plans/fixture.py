@@ -18,7 +18,7 @@ CONFIG = Config.load(
     {
         "clean": {"max_implied_kn": 0.4},
         "segment": {"max_gap_min": 720.0, "min_points": 3, "min_duration_min": 30.0},
-        "context": {"reception_cell_m": 4000.0, "port_cell_m": 2000.0, "traffic_cell_m": 2000.0, "max_step_s": 86400.0, "report_s": 3600.0, "still_kn": 4.0, "max_still_h": 24.0, "port_min_hours": 48.0, "port_min_vessels": 3, "home_min_hours": 40.0, "course_min_fixes": 5},
+        "context": {"reception_cell_m": 4000.0, "port_cell_m": 2000.0, "traffic_cell_m": 2000.0, "max_step_s": 86400.0, "report_s": 3600.0, "still_kn": 4.0, "max_still_h": 24.0, "port_min_hours": 48.0, "port_min_vessels": 3, "home_min_hours": 90.0, "course_min_fixes": 5},
         "gap": {"min_gap_min": 720.0, "min_sog_kn": 1.0, "min_reception": 0.02, "max_gap_h": 48.0},
         "jump": {"abs_kn": 5.0, "sog_factor": 0.2, "sog_margin_kn": 1.0, "merge_s": 86400.0},
         "loiter": {"min_hours": 12.0, "max_port_frac": 0.6, "max_gap_min": 1440.0},

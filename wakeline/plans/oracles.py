@@ -223,4 +223,6 @@ SQL: dict[str, str] = {
     "paired_difference": query("select horizon_min, count(*) n, round(avg(diff), 5) mean_diff_km from paired group by 1"),
     "manoeuvre_stats": query("select " + r(*(f"quantile_cont({c}, {p}) as {c}_p{int(100 * p)}" for c in ("sog_kn", "turn", "hours") for p in (0.05, 0.5, 0.95)), digits=5) + f" from (select sog_kn, abs(((cog_deg - lag(cog_deg) over ({W}) + 180) % 360 + 360) % 360 - 180) turn, (us - lag(us) over ({W})) / 3.6e9 as hours from clean1)"),
     "decimated_track": query("select _row, mmsi from (select *, row_number() over (partition by mmsi order by us) - 1 k, count(*) over (partition by mmsi) n from points) where k % greatest(1, cast(ceil(n / 20) as bigint)) = 0"),
+    "embedding_neighbours": """select query_id, vec_id, round(distance, 4) distance, cast(rank as integer) rank from (select a.vec_id query_id, b.vec_id, list_distance(cast(a.embedding as double[]), cast(b.embedding as double[])) distance,
+        row_number() over (partition by a.vec_id order by list_distance(cast(a.embedding as double[]), cast(b.embedding as double[])), b.vec_id) rank from embeddings a join embeddings b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id) where rank <= 5""",
 }

@@ -264,5 +264,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detect_deviation": lambda s, d: event_rows(deviation(s, d)), "detect_rendezvous": lambda s, d: event_rows(rendezvous(s, d)),
     "all_events": _all_events, "top_events": _top_events, "base_alarm_rate": _base_alarm_rate, "event_overlap_match": _event_overlap_match, "new_events": _new_events,
     "anchors": _anchors, "interp_truth": _interp_truth, "dead_reckoning": _dead_reckoning, "forecast_scores": _forecast_scores, "score_summary": _score_summary, "cov_scale": _cov_scale,
-    "paired_difference": _paired_difference, "bootstrap_ci": _bootstrap_ci, "manoeuvre_stats": _manoeuvre_stats, "decimated_track": _decimated, "seeded_sample": _sample_without_replacement,
+    "paired_difference": _paired_difference, "bootstrap_ci": _bootstrap_ci, "manoeuvre_stats": _manoeuvre_stats, "decimated_track": _decimated, "seeded_sample": _sample_without_replacement, "embedding_neighbours": _embedding_neighbours,
+}
+QUERIES |= {k: _with_module("more", k) for k in ("track_kf", "track_imm", "nis_report", "filter_forecasts", "tune_filter", "knn_analogs", "knn_forecast", "learned_forecast", "simulate_tracks", "sim_study", "injection_study")
 }
