@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
 
 from wakeline.llm.common import checked_join, materialise, shared_dir
@@ -282,7 +283,7 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _base32(hexes):
     return hexes.map(lambda x: base64.b32encode(bytes.fromhex(x)).decode())
 
