@@ -48,6 +48,9 @@ def windows(text: str | None, width: int = WINDOW_BYTES) -> list[bytes]:
     out, piece, size = [], [], 0
     for w in (text or "").lower().encode("utf-8", "replace").split():
         if len(w) > 4 * width:
+            if piece:
+                out.append(b" " + b" ".join(piece))
+                piece, size = [], 0
             out += [w[i : i + width] for i in range(0, len(w), width)]
             continue
         piece.append(w)
