@@ -8,7 +8,7 @@ import json
 from dataclasses import dataclass, field
 from datetime import date
 
-# Vessel groups in their order, the commercial ones, MMSI of ship stations.
+# Vessel groups in their order, the commercial ones, MMSI of ship stations; the defaults of the classes below.
 GROUPS = ("cargo", "tanker", "passenger", "tug_tow", "fishing", "pleasure", "other", "unknown")
 COMMERCIAL = ("cargo", "tanker", "passenger", "tug_tow", "fishing")
 MMSI_RANGE = (201_000_000, 775_999_999)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,19 +17,23 @@ def in_region(region: Region) -> Column:
     return F.col("lat").between(region.lat_min, region.lat_max) & F.col("lon").between(region.lon_min, region.lon_max)
 
 
+# The type codes of each vessel group, as (first, last); 0 and a missing code are unknown, all others other.
+GROUP_CODES = {
+    "unknown": [(0, 0)],
+    "cargo": [(70, 79), (1003, 1004), (1016, 1016)],
+    "tanker": [(80, 89), (1017, 1017), (1023, 1024)],
+    "passenger": [(60, 69), (1012, 1015)],
+    "tug_tow": [(21, 22), (31, 32), (52, 52), (1025, 1025)],
+    "fishing": [(30, 30), (1001, 1002)],
+    "pleasure": [(36, 37), (1019, 1019)],
+}
+
+
 def vessel_group(code: str = "vessel_type") -> Column:
-    """Vessel group of a type code. The code ranges of each group."""
-    c = F.col(code)
-    return (
-        F.when(c.isNull() | (c == 0), "unknown")
-        .when(c.between(70, 79) | c.isin(1003, 1004, 1016), "cargo")
-        .when(c.between(80, 89) | c.isin(1017, 1023, 1024), "tanker")
-        .when(c.between(60, 69) | c.between(1012, 1015), "passenger")
-        .when(c.isin(21, 22, 31, 32, 52, 1025), "tug_tow")
-        .when(c.isin(30, 1001, 1002), "fishing")
-        .when(c.isin(36, 37, 1019), "pleasure")
-        .otherwise("other")
-    )
+    """Vessel group of a type code."""
+    c = F.coalesce(F.col(code), F.lit(0))
+    hits = [F.when(reduce(lambda a, b: a | b, (c.between(lo, hi) for lo, hi in spans)), name) for name, spans in GROUP_CODES.items()]
+    return F.coalesce(*hits, F.lit("other"))
 
 
 def add_kinematics(df: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
