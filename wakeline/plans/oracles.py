@@ -175,7 +175,7 @@ def r(*columns: str, digits: int = 6) -> str:
     return ", ".join(f"round({c.split(' ')[0] if ' as ' not in c else c.rsplit(' as ', 1)[0]}, {digits}) as {c.rsplit(' as ', 1)[-1]}" for c in columns)
 
 
-EVENT = "type, mmsi, mmsi2, vessel_group, start_us, end_us, " + r("lat", "lon", "lat_end", "lon_end", "duration_min", "score")
+EVENT = "type, mmsi, mmsi2, vessel_group, start_us, end_us, " + r("lat", "lon", "lat_end", "lon_end", "score") + ", " + r("duration_min", digits=3)
 
 SQL: dict[str, str] = {
     "fixes": query(f"select event_id, mmsi, us, {r('lat', 'lon', 'sog_kn', 'cog_deg')}, vessel_type from fixes"),

@@ -24,7 +24,7 @@ def us(c: str) -> Column:
 
 
 def event_rows(e: DataFrame) -> DataFrame:
-    return rounded(e.select("type", "mmsi", "mmsi2", "vessel_group", us("t_start").alias("start_us"), us("t_end").alias("end_us"), "lat", "lon", "lat_end", "lon_end", "duration_min", "score"))
+    return rounded(e.select("type", "mmsi", "mmsi2", "vessel_group", us("t_start").alias("start_us"), us("t_end").alias("end_us"), "lat", "lon", "lat_end", "lon_end", F.round("duration_min", 3).alias("duration_min"), "score"))
 
 
 def _fixes(s, d):
