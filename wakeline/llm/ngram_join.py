@@ -281,3 +281,17 @@ def keep_one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     joined = ngram_jaccard_join(docs, **parameters)
     gone = materialise(joined.where("class_id != doc_id").select("doc_id"))
     return checked_join(docs, gone, "doc_id", "left_anti")
+
+
+#: All pairs that share an n-gram, for small tables.
+ORACLE_SQL = f"""
+with recursive t as (select doc_id, min(text) as text from documents where doc_id is not null group by doc_id),
+w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') w from t where text is not null),
+g as (select distinct doc_id, array_to_string(w[i : i + least({N}, len(w)) - 1], ' ') s from (select doc_id, w, unnest(range(1, greatest(len(w) - {N - 1}, 1) + 1)) i from w where len(w) > 0)),
+n as (select doc_id, count(*) n from g group by doc_id),
+p as (select a.doc_id x, b.doc_id y, count(*) c from g a join g b using (s) where a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where c >= {THRESHOLD} * (nx.n + ny.n - c) - 1e-9),
+e as (select x, y from l union all select y, x from l),
+r(a, b) as (select x, y from e union select r.a, e.y from r join e on r.b = e.x)
+select t.doc_id, least(t.doc_id, coalesce(c.m, t.doc_id)) class_id, coalesce(k.k, 0) n_links from t left join (select a, min(b) m from r group by a) c on c.a = t.doc_id left join (select x, count(*) k from e group by x) k on k.x = t.doc_id
+"""

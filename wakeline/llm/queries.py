@@ -74,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": license_scan.ORACLE_SQL,
+    "op4_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op6_warc": warc.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
 }
