@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.config import MMSI_RANGE, Clean, Region
@@ -51,18 +51,23 @@ def spike(limit_kn: float) -> Column:
     return F.coalesce((F.col("v_prev_kn") > limit_kn) & (F.col("v_next_kn") > limit_kn), F.lit(False))
 
 
-def _verdict(arrival: Sequence[str]) -> tuple[Column, Column, Column, Column]:
+def _verdict() -> tuple[Column, Column, Column]:
     keyed = F.col("mmsi").isNotNull() & F.col("t").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull()
     station = F.col("mmsi").between(*MMSI_RANGE)
     formed = F.col("transceiver").isNull() | F.col("transceiver").isin("A", "B")
-    return keyed, station, formed, F.row_number().over(Window.partitionBy("mmsi", "t").orderBy(*arrival))
+    return keyed, station, formed
 
 
 def clean_points(df: DataFrame, clean: Clean | None = None, arrival: Sequence[str] = ("_file", "_row"), kinematics: bool = True) -> DataFrame:
-    """Null keys, MMSI range, malformed rows, duplicates (first in arrival order stays), sentinels, kinematics, spikes."""
+    """Null keys, MMSI range, malformed rows, duplicates (first in arrival order stays), sentinels, kinematics, spikes.
+
+    Duplicates are found by the time of the row before, so that the exchange and the sort by vessel and time serve
+    de-duplication, kinematics and the voyages that follow.
+    """
     clean = clean or Clean()
-    keyed, station, formed, place = _verdict(arrival)
-    df = df.where(keyed & station & formed).withColumn("_place", place).where("_place = 1").drop("_place")
+    keyed, station, formed = _verdict()
+    again = F.lag("t").over(by_time(order=("t", *arrival))) == F.col("t")
+    df = df.where(keyed & station & formed).withColumn("_again", F.coalesce(again, F.lit(False))).where("not _again").drop("_again")
     df = df.withColumn("sog_kn", F.when(F.col("sog_kn") <= clean.max_sog_kn, F.col("sog_kn")))
     for c in ("cog_deg", "heading_deg"):
         if c in df.columns:
@@ -70,9 +75,9 @@ def clean_points(df: DataFrame, clean: Clean | None = None, arrival: Sequence[st
     return add_kinematics(df).withColumn("spike", spike(clean.max_implied_kn)) if kinematics else df
 
 
-def clean_report(df: DataFrame, arrival: Sequence[str] = ("_file", "_row")) -> DataFrame:
+def clean_report(df: DataFrame) -> DataFrame:
     """One row with the rows that each cleaning step drops, in one pass."""
-    keyed, station, formed, _ = _verdict(arrival)
+    keyed, station, formed = _verdict()
     good = keyed & station & formed
     copies = df.where(good).groupBy("mmsi", "t").count().agg(F.sum("count").alias("kept"), F.count("*").alias("unique"))
     n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")

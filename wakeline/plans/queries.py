@@ -45,7 +45,7 @@ def _clean_points(s, d):
 
 
 def _clean_report(s, d):
-    return clean.clean_report(raw(s, d), ("_row",))
+    return clean.clean_report(raw(s, d))
 
 
 def _dedup_first(s, d):
