@@ -59,7 +59,7 @@ def _verdict() -> tuple[Column, Column, Column]:
 
 
 def clean_points(df: DataFrame, clean: Clean | None = None, arrival: Sequence[str] = ("_file", "_row"), kinematics: bool = True) -> DataFrame:
-    """Null keys, MMSI range, malformed rows, duplicates (first in arrival order stays), sentinels, kinematics, spikes.
+    """Null keys, MMSI range, malformed rows, duplicates (first in arrival order stays), not-available codes, kinematics, spikes.
 
     Duplicates are found by the time of the row before, so that the exchange and the sort by vessel and time serve
     de-duplication, kinematics and the voyages that follow.

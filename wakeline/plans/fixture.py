@@ -43,7 +43,7 @@ select event_id, 316000000 + user_id as mmsi, {US} as us,
 from {EVENTS}
 """
 
-#: Faults on top: sentinels, bad MMSIs, null keys, and duplicates that arrive later.
+#: Faults on top: not-available codes, bad MMSIs, null keys, and duplicates that arrive later.
 RAW = """
 select event_id as _row, case when event_id % 89 = 0 then 1234567 else mmsi end as mmsi, us, case when event_id % 101 = 0 then null else lat end as lat, lon,
   case when event_id % 41 = 0 then 102.3e0 else sog_kn end as sog_kn, case when event_id % 43 = 0 then 360e0 else cog_deg end as cog_deg, heading_deg, vessel_type, transceiver, length_m
