@@ -114,6 +114,21 @@ def test_decontamination_reaches_its_recall_against_brute_force(spark):
     assert decontaminate.leaks(docs(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("what", [(0, 1, 2), (0,), (1,), (2,)])
+def test_decontamination_recall_with_all_edits_of_the_bound(spark, what):
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    index, rng, copies = decontaminate.build_index(bench), random.Random(3), []
+    for i, t in bench * 3:
+        w = decontaminate.words_of(t)
+        for _ in range(decontaminate.bound(len(w))):
+            at, op = rng.randrange(len(w)), rng.choice(what)
+            w[at : at + (op != 1)] = [b"q%d" % rng.randrange(10**9)] * (op != 2)
+        around = sentence(rng.randrange(10**6), 60).encode().split()
+        copies.append((i, index.array([*around[:30], *w, *around[30:]])))
+    got = {(d, int(index.ids[k])) for d, k, _ in decontaminate.find(index, [w for _, w in copies])}
+    assert sum((d, i) in got for d, (i, _) in enumerate(copies)) >= 0.99 * len(copies)
+
+
 # n-gram join
 
 

@@ -7,8 +7,9 @@ it. Words are runs of letters, digits and non-ASCII characters, lower-cased.
   with any item to lie within the bound: d edits destroy at most 2d pairs, so nothing that could match is lost.
 * The words of a window drive random walks (the embedding of Chakraborty, Goldenberg and Koucky): step j writes the
   current word and moves on by a random bit of (j, word), so that a small edit distance becomes a small Hamming distance.
-* `repetitions` samples of a few steps of a walk form keys; items with a key in common are candidates. The number of
-  repetitions follows from the target recall and the agreement measured between items and copies edited at the bound.
+* `repetitions` samples of a few steps of a walk form keys; items with a key in common are candidates. Walks over
+  documents end with the item-sized window, as those over items do. The number of repetitions is the least whose
+  simulated miss rate is within the target for each edit type and length class of copies edited at the bound.
 * Candidates are verified by the exact semi-global edit distance around the window.
 
 Items are taken in blocks of at most `ITEM_BLOCK`, each one pass over the documents, so the index that travels to the
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 from wakeline.llm.common import WordHash, checked_join, materialise, mix
 
 SIMILARITY, TARGET_RECALL, MIN_WORDS, ITEM_BLOCK = 0.8, 0.99, 5, 4000
-WALKS, SAMPLED, MOST_REPETITIONS, REACH = 8, 3, 256, 1.6
+WALKS, SAMPLED, MOST_REPETITIONS, REACH = 16, 3, 4096, 1.6
+PAD, CLASSES, SIMULATED, TRIED, EDIT_TYPES = np.uint64(1), 4, 64, 64, ((0, 1, 2), (0,), (1,), (2,))  # 0 replaces, 1 inserts, 2 deletes
 BATCH_WORDS, BITMAP, UNKNOWN = 1_000_000, 1 << 22, 2
 _SPACES = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
 
@@ -46,19 +48,24 @@ def bound(n: int, similarity: float = SIMILARITY) -> int:
     return int((1 - similarity) * n + 1e-9)
 
 
-def walk(flat: np.ndarray, start: np.ndarray, end: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """The first steps of the walk from each start; a pad word follows the end."""
-    pos, out = start.astype(np.int64), np.empty((len(start), steps), np.uint64)
+def walk(flat: np.ndarray, start: np.ndarray, end: np.ndarray, steps: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first steps of the walk from each start, and how far from the start each was; a pad word follows the end."""
+    pos, out, far = start.astype(np.int64), np.empty((len(start), steps), np.uint64), np.empty((len(start), steps), np.int32)
     multiplier = mix(np.arange(seed * 100_003 + 1, seed * 100_003 + 1 + steps, dtype=np.uint64)) | np.uint64(1)
     for j in range(steps):
         inside = pos < end
-        out[:, j] = np.where(inside, flat[np.minimum(pos, len(flat) - 1)], np.uint64(1))
+        out[:, j] = np.where(inside, flat[np.minimum(pos, len(flat) - 1)], PAD)
+        far[:, j] = pos - start
         pos += (out[:, j] * multiplier[j] >> np.uint64(63)).astype(np.int64) & inside
-    return out
+    return out, far
+
+
+def steps_of(length: int) -> int:
+    return max(SAMPLED, int(REACH * length))
 
 
 def sampled_steps(length: int, repetition: int) -> np.ndarray:
-    return np.sort(np.random.default_rng([length, repetition, 7]).choice(max(SAMPLED, int(REACH * length)), SAMPLED, replace=False))
+    return np.sort(np.random.default_rng([length, repetition, 7]).choice(steps_of(length), SAMPLED, replace=False))
 
 
 def key_of(symbols: np.ndarray, length: int, repetition: int) -> np.ndarray:
@@ -79,7 +86,7 @@ class Index:
     pairs: np.ndarray  # bitmap of the word pairs
     keys: np.ndarray  # sorted keys, and the item of each
     owner: np.ndarray
-    repetitions: int
+    repetitions: dict[int, int]  # by item length
     similarity: float
     vocabulary: dict[bytes, int]  # hashes of the words of all items
     seen: np.ndarray  # bitmap of the keys
@@ -89,21 +96,58 @@ class Index:
         return np.fromiter(map(self.vocabulary.get, words, repeat(UNKNOWN)), np.uint64, len(words))
 
 
-def repetitions_for(items: list[np.ndarray], similarity: float, target: float) -> int:
-    """How many samples find an item at the bound with probability `target`, by simulated edits."""
-    rng, agree = random.Random(5), []
-    for w in sorted(items, key=len)[:: max(1, len(items) // 40)]:
+def found_by_walk(items: list[np.ndarray], similarity: float, what: tuple[int, ...], rng: random.Random) -> np.ndarray:
+    """The chance (copy, walk) that one key of the walk finds an item in a copy edited at the bound.
+
+    Copies stand between unknown words, as in a document; every start that passes the count filter of `find` is tried.
+    """
+    unknown = lambda k: [np.uint64(rng.getrandbits(63) | 2) for _ in range(k)]
+    draw, own = np.random.default_rng(rng.getrandbits(32)), [items[c * len(items) // SIMULATED] for c in range(SIMULATED)]
+    texts, starts, at = [], [], 0
+    for w in own:
+        m, k = len(w), bound(len(w), similarity)
         edited = list(w)
-        for _ in range(bound(len(w), similarity)):
-            at, what = rng.randrange(len(edited)), rng.randrange(3)
-            edited[at : at + (what != 1)] = [np.uint64(rng.getrandbits(63))] * (what != 2)
-            edited = edited or [np.uint64(3)]
-        for seed in range(WALKS):
-            steps = max(SAMPLED, int(REACH * len(w)))
-            x, y = (walk(np.array(v, np.uint64), np.zeros(1, np.int64), np.array([len(v)]), steps, seed)[0] for v in (w, edited))
-            agree.append(float((x == y).mean()) ** SAMPLED)
-    p = float(np.mean(agree)) if agree else 1.0
-    return MOST_REPETITIONS if p < 1e-6 else min(MOST_REPETITIONS, max(WALKS, math.ceil(math.log(1 - target) / math.log(max(1e-12, 1 - min(p, 1 - 1e-9))))))
+        for _ in range(k):
+            where, op = rng.randrange(len(edited)), rng.choice(what)
+            edited[where : where + (op != 1)] = unknown(op != 2)
+            edited = edited or unknown(1)
+        text = np.array(unknown(2 * k) + edited + unknown(2 * m + 3 * k), np.uint64)
+        hit = np.concatenate([[0], np.cumsum(np.isin(pair_hash(text), pair_hash(w)))])
+        start = np.arange(4 * k + 1)
+        starts.append(at + start[hit[start + m + k - 1] - hit[start] >= m - 1 - 2 * k])
+        texts.append(text)
+        at += len(text)
+    size, tries = np.array([len(w) for w in own]), np.array([len(x) for x in starts])
+    first, split = np.concatenate([[0], np.cumsum(size)[:-1]]), np.concatenate([[0], np.cumsum(tries)])
+    triples = [np.array([draw.choice(steps_of(m), SAMPLED, replace=False) for _ in range(TRIED)]) for m in size]
+    clean, flat, start, steps, out = np.concatenate(own), np.concatenate(texts), np.concatenate(starts), steps_of(size.max()), np.zeros((SIMULATED, WALKS))
+    for s in range(WALKS):
+        ours, theirs = walk(clean, first, first + size, steps, s)[0], walk(flat, start, start + np.repeat(size, tries), steps, s)[0]
+        for c in range(SIMULATED):
+            out[c, s] = (theirs[split[c] : split[c + 1]] == ours[c])[:, triples[c]].all(2).any(0).mean()
+    return out
+
+
+def repetitions_for(items: list[np.ndarray], similarity: float, target: float) -> dict[int, int]:
+    """For each item length, the least number of samples whose miss rate is at most 1 - target for every edit type.
+
+    The chance differs between copies, so the rate is the mean of the misses, not the miss at the mean chance; repetitions
+    share the walks evenly.
+    """
+    rng, ordered, out = random.Random(5), sorted(items, key=len), {}
+    for rows in np.array_split(np.arange(len(ordered)), CLASSES):
+        if not len(rows):
+            continue
+        group = [ordered[i] for i in rows]
+        missed = [np.log1p(-np.minimum(found_by_walk(group, similarity, what, rng), 1 - 1e-9)).sum(1) for what in EDIT_TYPES]
+        low, high = 0, MOST_REPETITIONS // WALKS
+        while low + 1 < high:
+            each = (low + high) // 2
+            enough = all(np.exp(each * x).mean() <= 1 - target for x in missed)
+            low, high = (low, each) if enough else (each, high)
+        for w in group:
+            out[len(w)] = max(high * WALKS, out.get(len(w), 0))
+    return out
 
 
 def build_index(items: list[tuple[int, str]], similarity: float = SIMILARITY, target: float = TARGET_RECALL, min_words: int = MIN_WORDS) -> Index | None:
@@ -117,9 +161,9 @@ def build_index(items: list[tuple[int, str]], similarity: float = SIMILARITY, ta
         pairs[(pair_hash(w) & np.uint64(BITMAP - 1)).astype(np.int64)] = True
     r, keys, owner = repetitions_for(words, similarity, target), [], []
     for k, w in enumerate(words):
-        one = [walk(w, np.zeros(1, np.int64), np.array([len(w)]), max(SAMPLED, int(REACH * len(w))), s) for s in range(WALKS)]
-        keys += [key_of(one[rep % WALKS][:, sampled_steps(len(w), rep)], len(w), rep) for rep in range(r)]
-        owner += [k] * r
+        one = [walk(w, np.zeros(1, np.int64), np.array([len(w)]), steps_of(len(w)), s)[0] for s in range(WALKS)]
+        keys += [key_of(one[rep % WALKS][:, sampled_steps(len(w), rep)], len(w), rep) for rep in range(r[len(w)])]
+        owner += [k] * r[len(w)]
     keys, owner = np.concatenate(keys), np.array(owner)
     order = np.argsort(keys, kind="stable")
     seen = np.zeros(BITMAP, np.bool_)
@@ -174,12 +218,13 @@ def find(index: Index, docs: list[np.ndarray]) -> list[tuple[int, int, int]]:
         part = starts[at : at + 4096]
         here = {m: np.searchsorted(part, s[(s >= part[0]) & (s <= part[-1])]) for m, s in open_.items()}
         longest = max((m for m in here if len(here[m])), default=0)
-        walks = [walk(flat, part, end[part], max(SAMPLED, int(REACH * longest)), seed) for seed in range(WALKS)]
+        walks = [walk(flat, part, end[part], steps_of(longest), seed) for seed in range(WALKS)]
         for m, rows in here.items():
             if not len(rows):
                 continue
-            for rep in range(index.repetitions):
-                key = key_of(walks[rep % WALKS][rows[:, None], sampled_steps(m, rep)], m, rep)
+            for rep in range(index.repetitions[m]):
+                word, far = (v[rows[:, None], sampled_steps(m, rep)] for v in walks[rep % WALKS])
+                key = key_of(np.where(far < m, word, PAD), m, rep)
                 maybe = np.flatnonzero(index.seen[(key & np.uint64(BITMAP - 1)).astype(np.int64)])
                 if len(maybe):
                     lo, hi = np.searchsorted(index.keys, key[maybe]), np.searchsorted(index.keys, key[maybe], "right")
