@@ -312,6 +312,12 @@ def test_pii_base_spans_equal_brute_force_and_stay(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_pii_matches_are_located_where_they_matched(spark):
+    text = "ü ref X4155550123 then call 4155550123"
+    got = docs(spark, [(1, text)]).select(pii.located(F.col("text"), pii.GENERATORS["digits_long"]).alias("s")).first()["s"]
+    assert [tuple(s) for s in got] == [(text.rindex("4155550123"), len(text), "4155550123")]
+
+
 def test_pii_trees_on_unseen_synthetic_spans(spark):
     model = pii.fit_pii(spark)
     unseen = pii.synthetic(800, seed=999)

@@ -73,17 +73,17 @@ def _digits(match: Column) -> Column:
 def located(text: Column, pattern: str, gate: str | None = None) -> Column:
     """array<struct<start, end, match>> of the matches of a pattern, left to right, in code points, end exclusive.
 
-    The leftmost occurrence of a matched string after the previous match is the match itself: an earlier one would
-    have been matched first.
+    The pieces between the matches come from splitting by the same pattern, so each match starts where its piece ends.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    matches, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     if gate:
-        matches = F.when(F.contains(text, F.lit(gate)), matches).otherwise(F.array().cast("array<string>"))
-    zero = F.struct(F.array().cast("array<struct<start:int,end:int,match:string>>").alias("spans"), F.lit(1).alias("at"))
+        passes = F.contains(F.lower(text), F.lit(gate))
+        matches, pieces = (F.when(passes, x).otherwise(F.array().cast("array<string>")) for x in (matches, pieces))
+    zero = F.struct(F.array().cast("array<struct<start:int,end:int,match:string>>").alias("spans"), F.lit(0).alias("at"), pieces.alias("pieces"))
 
     def add(acc: Column, m: Column) -> Column:
-        p = F.position(m, text, acc["at"])
-        return F.struct(F.concat(acc["spans"], F.array(F.struct((p - 1).alias("start"), (p - 1 + F.length(m)).alias("end"), m.alias("match")))).alias("spans"), (p + F.length(m)).alias("at"))
+        start = acc["at"] + F.length(F.get(acc["pieces"], F.size(acc["spans"])))
+        return F.struct(F.concat(acc["spans"], F.array(F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match")))).alias("spans"), (start + F.length(m)).alias("at"), acc["pieces"].alias("pieces"))
 
     return F.aggregate(matches, zero, add)["spans"]
 
