@@ -73,6 +73,16 @@ def test_html_extraction(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("wrapper", ["<div class='content has-sidebar'>", "<div class='no-sidebar'>", "<div class='layout nav-open'>", "<div class='post comments-open'>", "<form id='aspnetForm'>", "<div class='widget'>"])
+def test_html_wrappers_with_a_mark_keep_the_article(wrapper):
+    side = "<div class='sidebar'><p>Links</p></div>"
+    for body, want in (("<article><h1>T</h1><p>The whole story of it.</p><div class='warning'>Mind the gap.</div><div class='share'><a href=x>Tweet</a></div></article>", "T\nThe whole story of it.\nMind the gap."), ("<p>The whole story of it, told once more at some length here.</p>", "The whole story of it, told once more at some length here.")):
+        html = f"<html><body>{wrapper}{side}{body}</{wrapper[1:].split()[0]}></body></html>"
+        assert html_extract.extract(html_extract.parse(html), None) == want
+    comments = "<html><body><article><p>Story.</p></article><section id='comments'><article><p>A reader's longer say on it.</p></article></section></body></html>"
+    assert html_extract.extract(html_extract.parse(comments), None) == "Story."
+
+
 def test_html_of_the_given_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html_extract.extract_text(pages).collect()}

@@ -47,6 +47,10 @@ DROP_WORDS = frozenset(
     "footer foot sidebar aside rail widget widgets cookie cookies consent gdpr notice notices notification banner alert warning popup modal overlay newsletter subscribe subscription signup login signin paywall "
     "share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond responses discussion skip toolbar masthead search".split()
 )
+#: Words beside a mark that tell the state of a page, as in has-sidebar or nav-open.
+STATE_WORDS = frozenset("has have no not with without is open opened closed on off enabled disabled active visible".split())
+#: Marks that inside an article may stand on its own text; there they drop only what is mostly links.
+UNSURE_WORDS = frozenset("response responses respond related share warning rail foot".split())
 HEADER_WORDS = frozenset("header head pageheader siteheader".split())
 DECAY, TOP = 0.9, 5
 
@@ -59,6 +63,10 @@ class Element:
     depth: int
     dropped: bool
     in_article: bool
+    hard: bool = False  # dropped for good
+    soft: int = 0  # marked by class, id, role or form: 1; by unsure words inside an article: 2
+    plain: int = 0  # characters outside and inside links of its own, then with all below
+    linked: int = 0
 
 
 @dataclass
@@ -68,10 +76,45 @@ class Page:
 
 
 def _words(s: str) -> set[str]:
-    return set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", s).lower()))
+    tokens = (set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", t).lower())) for t in s.split())
+    return {w for t in tokens if not t & STATE_WORDS for w in t}
 
 
 def parse(html: str) -> Page:
+    """The page without what is dropped; marked elements that hold the article itself are kept."""
+    page = _parsed(html, frozenset())
+    if any(e.soft for e in page.elements):
+        spared = _spared(page)
+        if spared:
+            page = _parsed(html, spared)
+        if not page.blocks:
+            page = _parsed(html, frozenset(i for i, e in enumerate(page.elements) if e.soft))
+    return page
+
+
+def _spared(page: Page) -> frozenset[int]:
+    """Marked elements with nine tenths of the page's text outside links, those around its only articles, and unsure ones."""
+    hard, marked = [False], [False]
+    for e in page.elements[1:]:
+        hard.append(hard[e.parent] or e.hard)
+        marked.append(marked[e.parent] or bool(e.soft))
+    for i in range(len(page.elements) - 1, 0, -1):
+        e = page.elements[i]
+        if not hard[i]:
+            page.elements[e.parent].plain += e.plain
+            page.elements[e.parent].linked += e.linked
+    articles = [i for i, e in enumerate(page.elements) if e.tag in ("article", "main") and not hard[i] and e.plain]
+    around: set[int] = set()
+    if articles and all(marked[i] for i in articles):
+        for i in articles:
+            while i > 0:
+                i = page.elements[i].parent
+                around.add(i)
+    total = page.elements[0].plain
+    return frozenset(i for i, e in enumerate(page.elements) if e.soft and not hard[i] and (i in around or 10 * e.plain >= 9 * total > 0 or (e.soft == 2 and e.plain > e.linked)))
+
+
+def _parsed(html: str, spared: frozenset[int]) -> Page:
     page = Page([Element("#root", "", -1, 0, False, False)])
     stack, text, linked, links, size, pos = [0], [], [], 0, len(html), 0
 
@@ -84,7 +127,14 @@ def parse(html: str) -> Page:
         text, linked = [], []
 
     def add(s: str) -> None:
-        if s and not page.elements[stack[-1]].dropped:
+        if not s:
+            return
+        e = page.elements[stack[-1]]
+        if links:
+            e.linked += len(s.strip())
+        else:
+            e.plain += len(s.strip())
+        if not e.dropped:
             s = unescape(s)
             text.append(s)
             if links:
@@ -137,16 +187,20 @@ def parse(html: str) -> Page:
             continue
         up = page.elements[stack[-1]]
         attributes = m.group(3) or ""
-        name, dropped, in_article = tag, up.dropped or tag in DROP_TAGS, up.in_article or tag in ("article", "main")
+        name, hard, soft, in_article = tag, tag in DROP_TAGS and tag != "form", int(tag == "form"), up.in_article or tag in ("article", "main")
         if len(attributes) > 3:
             a = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
             marks = _words(f"{a.get('class', '')} {a.get('id', '')}")
             if tag not in ("html", "body", "article", "main"):
-                dropped = dropped or bool(marks & DROP_WORDS) or a.get("role", "").lower() in DROP_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or (not up.in_article and bool(marks & HEADER_WORDS))
+                hard = hard or "hidden" in a or a.get("aria-hidden") == "true"
+                if a.get("role", "").lower() in DROP_ROLES or (not up.in_article and bool(marks & HEADER_WORDS)) or marks & DROP_WORDS:
+                    unsure = up.in_article and not soft and a.get("role", "").lower() not in DROP_ROLES and not marks & (DROP_WORDS - UNSURE_WORDS)
+                    soft = 2 if unsure else 1
             if a.get("class"):
                 name += "." + ".".join(sorted({re.sub(r"[0-9]+", "#", c.lower()) for c in a["class"].split()})[:3])
-        dropped = dropped or (tag == "header" and not up.in_article)
-        page.elements.append(Element(tag, f"{up.path}/{name}" if tag in BLOCK or tag in CONTAINERS else up.path, stack[-1], up.depth + 1, dropped, in_article))
+        hard = hard or (tag == "header" and not up.in_article)
+        dropped = up.dropped or hard or (bool(soft) and len(page.elements) not in spared)
+        page.elements.append(Element(tag, f"{up.path}/{name}" if tag in BLOCK or tag in CONTAINERS else up.path, stack[-1], up.depth + 1, dropped, in_article, hard, 0 if hard else soft))
         if tag in RAW:
             stop = re.compile(f"</{tag}\\b[^>]*>", re.I).search(html, pos)
             pos = stop.end() if stop else size
