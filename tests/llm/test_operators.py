@@ -328,6 +328,15 @@ def test_pii_matches_are_located_where_they_matched(spark):
     assert [tuple(s) for s in got] == [(text.rindex("4155550123"), len(text), "4155550123")]
 
 
+def test_pii_long_secrets_and_other_forms_of_mail(spark):
+    r = random.Random(8)
+    long = "".join(r.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(256))
+    base64_ = "aB3+dE/5gH1jK+mN0pQ/sT7vWxYz2/4r8u+c6e=="
+    rows = [(1, f"secret: {long} an"), (2, f"secret: {base64_} an"), (3, "write to john [AT] ber [DOT] com now"), (4, "write to john AT ber DOT co DOT com now")]
+    got = {d["doc_id"]: d["text"] for d in pii.redact(docs(spark, rows), pii.fit_pii(spark)).collect()}
+    assert got == {1: "secret: [SECRET] an", 2: "secret: [SECRET] an", 3: "write to [EMAIL] now", 4: "write to [EMAIL] now"}
+
+
 def test_pii_trees_on_unseen_synthetic_spans(spark):
     model = pii.fit_pii(spark)
     unseen = pii.synthetic(800, seed=999)

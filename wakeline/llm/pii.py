@@ -37,11 +37,12 @@ BASE = {
 #: Cheap tests that a text must pass to hold a span of the kind or generator at all.
 GATE = {"email": "@", "ip": ".", "phone": "+"}
 GENERATORS = {
-    "mail_marked": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\[dot\]|\(dot\)|\{dot\}) ?[A-Za-z0-9-]{1,63}+)++",
-    "mail_spoken": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ at [A-Za-z0-9-]{1,63}+ dot [A-Za-z]{2,24}+",
+    "mail_marked": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\[dot\]|\(dot\)|\{dot\}) ?[A-Za-z0-9-]{1,63}+)++",
+    "mail_spoken": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ at [A-Za-z0-9-]{1,63}+(?: dot [A-Za-z0-9-]{1,63}+(?= dot [A-Za-z]{2}))*+ dot [A-Za-z]{2,24}+",
     "digits_grouped": r"(?<![0-9A-Za-z+])\(?[0-9]{2,4}+\)?(?:[\x20./-]{1,2}+[0-9]{2,7}+){2,4}+(?![0-9A-Za-z])",
     "digits_long": r"(?<![0-9A-Za-z])[0-9]{9,19}+(?![0-9A-Za-z])",
-    "token": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,200}+(?![A-Za-z0-9_-])",
+    "token": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+",
+    "token_base64": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_-]*+[+/=])[A-Za-z0-9_+/-]{20,}+={0,2}+",
 }
 CONTEXT = 32
 WORDS = {
@@ -138,7 +139,7 @@ def kind_of(c: Column) -> Column:
     """The kind that a proposed span would have."""
     n, k = F.length(_digits(c["match"])), KINDS.index
     digits = F.when(F.regexp_like(c["match"], F.lit("^[0-9]{3}-[0-9]{2}-[0-9]{4}$")), k("id")).when(n >= 13, k("card")).otherwise(k("phone"))
-    return F.when(F.startswith(c["generator"], F.lit("mail")), k("email")).when(c["generator"] == "token", k("secret")).otherwise(digits)
+    return F.when(F.startswith(c["generator"], F.lit("mail")), k("email")).when(F.startswith(c["generator"], F.lit("token")), k("secret")).otherwise(digits)
 
 
 @dataclass
@@ -172,7 +173,8 @@ def synthetic(n: int = TRAINING, seed: int = SEED) -> list[tuple[str, int, int,
         lambda: (lead("card", 0.6), card()),
         lambda: (lead("card", 1), digits(16)),
         lambda: (lead("id", 0.7), f"{digits(3)}-{digits(2)}-{digits(4)}"),
-        lambda: (lead("secret", 1) + r.choice(['"', "'", ""]), token(r.choice([24, 32, 40]))),
+        lambda: (lead("secret", 1) + r.choice(['"', "'", ""]), token(r.choice([24, 32, 40, 256]))),
+        lambda: (lead("secret", 1), "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(r.choice([24, 40, 88]) - 2)) + "=="),
     ]
     no = [
         lambda: (lead("other", 0.5), digits(r.randint(9, 19))),
@@ -184,6 +186,7 @@ def synthetic(n: int = TRAINING, seed: int = SEED) -> list[tuple[str, int, int,
         lambda: (lead("other", 0.8), token(40)),
         lambda: ("", "".join(word() for _ in range(8)) + "tionstber"),
         lambda: ("", "_".join(word() for _ in range(6)) + "_maximum_value"),
+        lambda: ("", "/".join(word() for _ in range(8)) + "/index"),
         lambda: (r.choice(["/", "v", "#"]), f"{digits(2)}.{digits(2)}.{digits(3)}.{digits(2)}.{digits(2)}"),
     ]
     out = []
