@@ -4,18 +4,21 @@ A document leaks an item if some run of its words is within `floor((1 - similari
 it. Words are runs of letters, digits and non-ASCII characters, lower-cased.
 
 * Every start in a document opens one window per item length. A count filter drops windows that share too few word pairs
-  with any item to lie within the bound: d edits destroy at most 2d pairs, so nothing that could match is lost.
+  with the items of their length to lie within the bound: d edits destroy at most 2d pairs, so nothing that could match
+  is lost.
 * The words of a window drive random walks (the embedding of Chakraborty, Goldenberg and Koucky): step j writes the
   current word and moves on by a random bit of (j, word), so that a small edit distance becomes a small Hamming distance.
 * `repetitions` samples of a few steps of a walk form keys; items with a key in common are candidates. Walks over
   documents end with the item-sized window, as those over items do. The number of repetitions is the least whose
   simulated miss rate is within the target for each edit type and length class of copies edited at the bound.
-* Candidates are verified by the exact semi-global edit distance around the window.
+* Candidates are verified by the exact semi-global edit distance around the window. An item too short for an edit is
+  found by the hash of its words.
 
 Items are taken in blocks of at most `ITEM_BLOCK`, each one pass over the documents, so the index that travels to the
 executors is bounded. Edge cases: null or empty texts and documents without doc_id leak nothing (the latter cannot be
-named); items with a null id or fewer than `min_words` words are not searched for; repeated rows give one pair; other
-columns are ignored; an empty table gives no rows.
+named); items with a null id, without words or with fewer than `min_words` words are not searched for; repeated rows give
+one pair; other columns are ignored; an empty table gives no rows. A target recall that `MOST_REPETITIONS` samples cannot
+reach is an error.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import math
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -31,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import WordHash, checked_join, materialise, mix
+from wakeline.llm.common import WordHash, checked_join, materialise, mix, shingle_hashes
 
-SIMILARITY, TARGET_RECALL, MIN_WORDS, ITEM_BLOCK = 0.8, 0.99, 5, 4000
+SIMILARITY, TARGET_RECALL, MIN_WORDS, ITEM_BLOCK = 0.8, 0.99, 1, 4000
 WALKS, SAMPLED, MOST_REPETITIONS, REACH = 16, 3, 4096, 1.6
 PAD, CLASSES, SIMULATED, TRIED, EDIT_TYPES = np.uint64(1), 4, 64, 64, ((0, 1, 2), (0,), (1,), (2,))  # 0 replaces, 1 inserts, 2 deletes
 BATCH_WORDS, BITMAP, UNKNOWN = 1_000_000, 1 << 22, 2
@@ -64,6 +68,7 @@ def steps_of(length: int) -> int:
     return max(SAMPLED, int(REACH * length))
 
 
+@lru_cache(65_536)
 def sampled_steps(length: int, repetition: int) -> np.ndarray:
     return np.sort(np.random.default_rng([length, repetition, 7]).choice(steps_of(length), SAMPLED, replace=False))
 
@@ -90,6 +95,10 @@ class Index:
     similarity: float
     vocabulary: dict[bytes, int]  # hashes of the words of all items
     seen: np.ndarray  # bitmap of the keys
+    pair_keys: np.ndarray  # sorted word pairs, and the lengths of the items that have each, a bit for each of `bit`
+    pair_lengths: np.ndarray
+    bit: dict[int, int]
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: sorted hashes of items without room for an edit, and their items
 
     def array(self, words: list[bytes]) -> np.ndarray:
         """Hashes of words; those in no item are all alike, as they match nothing."""
@@ -140,11 +149,13 @@ def repetitions_for(items: list[np.ndarray], similarity: float, target: float) -
             continue
         group = [ordered[i] for i in rows]
         missed = [np.log1p(-np.minimum(found_by_walk(group, similarity, what, rng), 1 - 1e-9)).sum(1) for what in EDIT_TYPES]
+        enough = lambda each: all(np.exp(each * x).mean() <= 1 - target for x in missed)
         low, high = 0, MOST_REPETITIONS // WALKS
+        if not enough(high):
+            raise ValueError(f"recall {target} needs more than {MOST_REPETITIONS} samples for items of {len(group[0])} to {len(group[-1])} words")
         while low + 1 < high:
             each = (low + high) // 2
-            enough = all(np.exp(each * x).mean() <= 1 - target for x in missed)
-            low, high = (low, each) if enough else (each, high)
+            low, high = (low, each) if enough(each) else (each, high)
         for w in group:
             out[len(w)] = max(high * WALKS, out.get(len(w), 0))
     return out
@@ -152,23 +163,36 @@ def repetitions_for(items: list[np.ndarray], similarity: float, target: float) -
 
 def build_index(items: list[tuple[int, str]], similarity: float = SIMILARITY, target: float = TARGET_RECALL, min_words: int = MIN_WORDS) -> Index | None:
     h = WordHash()
-    kept = [(i, w) for i, t in items if i is not None and len(w := h.array(words_of(t))) >= min_words]
+    kept = [(i, w) for i, t in items if i is not None and len(w := h.array(words_of(t))) >= max(1, min_words)]
     if not kept:
         return None
     words = [w for _, w in kept]
+    long = [k for k, w in enumerate(words) if bound(len(w), similarity)]
+    bit = {m: i % 64 for i, m in enumerate(sorted({len(words[k]) for k in long}))}
+    none = np.zeros(0, np.uint64)
+    pair, has = (np.concatenate([none, *x]) for x in ([pair_hash(words[k]) for k in long], [np.full(len(words[k]) - 1, 1 << bit[len(words[k])], np.uint64) for k in long]))
+    pair_keys, at = np.unique(pair, return_inverse=True)
+    pair_lengths = np.zeros(len(pair_keys), np.uint64)
+    np.bitwise_or.at(pair_lengths, at, has)
     pairs = np.zeros(BITMAP, np.bool_)
-    for w in words:
-        pairs[(pair_hash(w) & np.uint64(BITMAP - 1)).astype(np.int64)] = True
-    r, keys, owner = repetitions_for(words, similarity, target), [], []
-    for k, w in enumerate(words):
+    pairs[(pair_keys & np.uint64(BITMAP - 1)).astype(np.int64)] = True
+    r, keys, owner = repetitions_for([words[k] for k in long], similarity, target), [none], []
+    for k in long:
+        w = words[k]
         one = [walk(w, np.zeros(1, np.int64), np.array([len(w)]), steps_of(len(w)), s)[0] for s in range(WALKS)]
         keys += [key_of(one[rep % WALKS][:, sampled_steps(len(w), rep)], len(w), rep) for rep in range(r[len(w)])]
         owner += [k] * r[len(w)]
-    keys, owner = np.concatenate(keys), np.array(owner)
+    keys, owner = np.concatenate(keys), np.array(owner, np.int64)
     order = np.argsort(keys, kind="stable")
     seen = np.zeros(BITMAP, np.bool_)
     seen[(keys & np.uint64(BITMAP - 1)).astype(np.int64)] = True
-    return Index(np.array([i for i, _ in kept], np.int64), words, pairs, keys[order], owner[order], r, similarity, dict(h), seen)
+    short = {}
+    for m in {len(w) for w in words} - set(bit):
+        own = np.array([k for k, w in enumerate(words) if len(w) == m])
+        h_m = np.array([shingle_hashes(words[k], m)[0] for k in own])
+        by = np.argsort(h_m, kind="stable")
+        short[m] = (h_m[by], own[by])
+    return Index(np.array([i for i, _ in kept], np.int64), words, pairs, keys[order], owner[order], r, similarity, dict(h), seen, pair_keys, pair_lengths, bit, short)
 
 
 def edits(items: np.ndarray, regions: np.ndarray) -> np.ndarray:
@@ -182,25 +206,39 @@ def edits(items: np.ndarray, regions: np.ndarray) -> np.ndarray:
     return d.min(1)
 
 
-def find(index: Index, docs: list[np.ndarray]) -> list[tuple[int, int, int]]:
-    """(document, item, edits) of every leak found; documents and items by position."""
-    n = np.array([len(d) for d in docs])
-    if not n.sum():
+def matches(keys: np.ndarray, owner: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position in `wanted`, owner) of every equal key of a sorted list."""
+    lo, hi = np.searchsorted(keys, wanted), np.searchsorted(keys, wanted, "right")
+    count = hi - lo
+    return np.repeat(np.arange(len(wanted)), count), owner[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())]
+
+
+def _exact(index: Index, flat: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """(start, item) of the items without room for an edit."""
+    out = []
+    for m, (keys, owner) in index.short.items():
+        if len(end) >= m:
+            start = np.flatnonzero(np.arange(len(end)) + m <= end)
+            at, item = matches(keys, owner, shingle_hashes(flat[: len(end)], m)[start])
+            out.append(np.column_stack([start[at], item]))
+    return out
+
+
+def _by_walk(index: Index, flat: np.ndarray, first: np.ndarray, n: np.ndarray, doc: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """(start, item) of the windows that pass the count filter and share a key with an item."""
+    lengths = sorted(index.bit)
+    if not lengths:
         return []
-    flat = np.concatenate([*docs, np.zeros(1, np.uint64)])
-    first = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    pair = pair_hash(flat)
     hit = np.zeros(len(flat), np.int32)
-    hit[1:] = index.pairs[(pair_hash(flat) & np.uint64(BITMAP - 1)).astype(np.int64)]
+    hit[1:] = index.pairs[(pair & np.uint64(BITMAP - 1)).astype(np.int64)]
     hit[first[1:][n > 0]] = 0  # a pair does not reach over the end of a document
     hit = np.cumsum(hit, dtype=np.int32)
-    lengths = sorted({len(w) for w in index.words})
     need = {m: m - 1 - 2 * bound(m, index.similarity) for m in lengths}
     least, used = max(0, min(need.values())), n > 0
     used[used] = (hit[np.maximum(first[1:] - 1, 0)] - hit[first[:-1]])[used] >= least
-    doc = np.repeat(np.arange(len(docs), dtype=np.int32), n)
-    end = first[doc + 1]
     alive = np.flatnonzero(np.repeat(used, n)).astype(np.int32)
-    chosen, open_ = [], {}
+    open_ = {}
     for group in (lengths[i : i + 8] for i in range(0, len(lengths), 8)):
         # What all of these lengths need, within the window of the longest; then each length by itself.
         widest = max(m + bound(m, index.similarity) for m in group)
@@ -208,29 +246,60 @@ def find(index: Index, docs: list[np.ndarray]) -> list[tuple[int, int, int]]:
         for m in group:
             k = bound(m, index.similarity)
             upto = np.minimum(some + (m + k), end[some])
-            s = some[(hit[upto - 1] - hit[some] >= need[m]) & (upto - some >= m - k)]
-            if len(s):
-                open_[m] = s
+            ok = (hit[upto - 1] - hit[some] >= need[m]) & (upto - some >= m - k)
+            if ok.any():
+                open_[m] = some[ok], upto[ok]
     if not open_:
         return []
-    starts = np.unique(np.concatenate(list(open_.values())))
+    # The same count once more with the pairs of the items of just that length, over the words of open windows.
+    cover = np.zeros(len(flat) + 1, np.int32)
+    for s, upto in open_.values():
+        cover += np.bincount(s, minlength=len(cover)).astype(np.int32) - np.bincount(upto, minlength=len(cover)).astype(np.int32)
+    inside = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
+    rank = np.zeros(len(flat), np.int32)
+    rank[inside] = np.arange(len(inside), dtype=np.int32)
+    own = pair[np.maximum(inside, 1) - 1]
+    place = np.minimum(np.searchsorted(index.pair_keys, own), len(index.pair_keys) - 1)
+    has = np.where((index.pair_keys[place] == own) & (inside > first[doc[inside]]), index.pair_lengths[place], np.uint64(0))
+    windows = {}
+    for m, (s, upto) in open_.items():
+        count = np.cumsum(has >> np.uint64(index.bit[m]) & np.uint64(1), dtype=np.int32)
+        s = s[count[rank[upto - 1]] - count[rank[s]] >= need[m]]
+        if len(s):
+            windows[m] = s
+    if not windows:
+        return []
+    chosen, starts = [], np.unique(np.concatenate(list(windows.values())))
     for at in range(0, len(starts), 4096):  # bounded memory
         part = starts[at : at + 4096]
-        here = {m: np.searchsorted(part, s[(s >= part[0]) & (s <= part[-1])]) for m, s in open_.items()}
+        here = {m: np.searchsorted(part, s[(s >= part[0]) & (s <= part[-1])]) for m, s in windows.items()}
         longest = max((m for m in here if len(here[m])), default=0)
         walks = [walk(flat, part, end[part], steps_of(longest), seed) for seed in range(WALKS)]
         for m, rows in here.items():
             if not len(rows):
                 continue
-            for rep in range(index.repetitions[m]):
-                word, far = (v[rows[:, None], sampled_steps(m, rep)] for v in walks[rep % WALKS])
-                key = key_of(np.where(far < m, word, PAD), m, rep)
-                maybe = np.flatnonzero(index.seen[(key & np.uint64(BITMAP - 1)).astype(np.int64)])
-                if len(maybe):
-                    lo, hi = np.searchsorted(index.keys, key[maybe]), np.searchsorted(index.keys, key[maybe], "right")
-                    count = hi - lo
-                    owner = index.owner[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())]
-                    chosen.append(np.column_stack([np.repeat(part[rows[maybe]], count), owner]))
+            for seed, (word, far) in enumerate(walks):
+                steps = steps_of(m)
+                own = np.where(far[rows, :steps] < m, word[rows, :steps], PAD).T.copy()
+                for rep in range(seed, index.repetitions[m], WALKS):
+                    key = key_of(own[sampled_steps(m, rep)].T, m, rep)
+                    maybe = np.flatnonzero(index.seen[(key & np.uint64(BITMAP - 1)).astype(np.int64)])
+                    if len(maybe):
+                        row, item = matches(index.keys, index.owner, key[maybe])
+                        chosen.append(np.column_stack([part[rows[maybe[row]]], item]))
+    return chosen
+
+
+def find(index: Index, docs: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """(document, item, edits) of every leak found; documents and items by position."""
+    n = np.array([len(d) for d in docs])
+    if not n.sum():
+        return []
+    flat = np.concatenate([*docs, np.zeros(1, np.uint64)])
+    first = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    doc = np.repeat(np.arange(len(docs), dtype=np.int32), n)
+    end = first[doc + 1]
+    chosen = _exact(index, flat, end) + _by_walk(index, flat, first, n, doc, end)
     if not chosen:
         return []
     cand = np.unique(np.concatenate(chosen), axis=0)
