@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -97,8 +98,8 @@ def test_html_of_the_given_pages(spark):
 
 def test_decontamination_reaches_its_recall_against_brute_force(spark):
     rng = random.Random(1)
-    bench = [(k, sentence(100 + k, rng.randint(8, 40))) for k in range(30)] + [(99, "too short"), (None, sentence(5)), (98, None)]
-    rows = [r for r in ODD]
+    bench = [(k, sentence(100 + k, rng.randint(8, 40))) for k in range(30)] + [(99, "too short"), (None, sentence(5)), (98, None), (97, "rexx"), (96, "four of its Words")]
+    rows = [*ODD, (900, "a rexx, b"), (901, "it is too short."), (902, "too\nshort"), (903, "four of its word and four of its WORDS"), (904, "too long short rex x")]
     for i, t in bench[:30]:
         for rep in range(3):
             w = decontaminate.words_of(t)
@@ -110,14 +111,15 @@ def test_decontamination_reaches_its_recall_against_brute_force(spark):
     h, want = WordHash(), {}
     for i, t in bench:
         w = h.array(decontaminate.words_of(t))
-        if i is not None and len(w) >= 5:
+        if i is not None and len(w):
             for d, text in rows:
                 x = h.array(decontaminate.words_of(text))
                 if d is not None and len(x):
                     e = int(decontaminate.edits(w[None], x[None])[0])
                     if e <= decontaminate.bound(len(w)):
                         want[d, i] = min(e, want.get((d, i), 99))
-    assert set(got) <= set(want) and all(got[k] == want[k] for k in got) and len(got) >= 0.97 * len(want) and len(want) >= 90
+    assert set(got) <= set(want) and all(got[k] == want[k] for k in got) and len(got) >= 0.97 * len(want) and len(want) >= 94
+    assert {(900, 97), (901, 99), (902, 99), (903, 96)} <= set(got)
     kept = decontaminate.drop_leaking(docs(spark, rows), spark.createDataFrame(bench, "item_id long, text string"))
     assert kept.columns == docs(spark, []).columns and len(rows) - len({d for d, _ in want}) <= kept.count() <= len(rows) - 0.95 * len({d for d, _ in want})
     assert decontaminate.leaks(docs(spark, []), spark.createDataFrame(bench, "item_id long, text string")).count() == 0
@@ -139,6 +141,12 @@ def test_decontamination_recall_with_all_edits_of_the_bound(spark, what):
     assert sum((d, i) in got for d, (i, _) in enumerate(copies)) >= 0.99 * len(copies)
 
 
+def test_decontamination_raises_where_the_target_is_out_of_reach(monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_REPETITIONS", decontaminate.WALKS)
+    with pytest.raises(ValueError, match="needs more than"):
+        decontaminate.build_index([(k, sentence(k, 50)) for k in range(20)])
+
+
 # n-gram join
 
 
@@ -350,18 +358,48 @@ def test_pii_trees_on_unseen_synthetic_spans(spark):
 # toxicity
 
 
-def test_toxicity_held_out_and_edges(spark):
-    given, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+def held_out_rates(spark, sf_dir):
+    """(share of toxic, share of other held-out labelled documents that are predicted toxic)."""
+    given, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit_toxicity(given, labels, ~toxicity.held_out(F.col("_id")))
     scored = toxicity.score_toxicity(given.join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))), model)
     n = {(r["toxic"], r["predicted"]): r["count"] for r in scored.groupBy("toxic", "predicted").count().collect()}
-    assert n[1, 1] >= 0.65 * (n[1, 1] + n[1, 0]) and n.get((0, 1), 0) <= 0.015 * n[0, 0]
+    return model, n[1, 1] / (n[1, 1] + n.get((1, 0), 0)), n.get((0, 1), 0) / n[0, 0]
+
+
+def test_toxicity_held_out_and_edges(spark):
+    model, caught, wrong = held_out_rates(spark, "/root/testdata/check_s")  # 1,400 toxic documents to learn from
+    assert caught >= 0.9 and wrong <= 0.015
     got = toxicity.score_toxicity(docs(spark, ODD), model)
     assert got.count() == len(ODD) and got.where("score between 0 and 1").count() == len(ODD) and got.where("doc_id = 5").select("score").distinct().count() == 1
     assert toxicity.drop_toxic(docs(spark, ODD), model).columns == docs(spark, []).columns
-    none = toxicity.fit_toxicity(given, labels.limit(0))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    none = toxicity.fit_toxicity(spark.read.parquet(f"{SF}/documents.parquet"), labels.limit(0))
     assert toxicity.score_toxicity(docs(spark, ODD), none).agg(F.max("score")).first()[0] == 0 and toxicity.score_toxicity(docs(spark, []), model).count() == 0
     assert b"".join(toxicity.windows("A b\n" + "c" * 1000)).replace(b" ", b"") == b"ab" + b"c" * 1000
+    # The score from its definition, for one text.
+    text = "The idiot said: what a stupid clown, and went on to say it once more and more"
+    size = lambda raw, w: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw + toxicity.ANCHOR, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=zstandard.ZstdCompressionParameters(**toxicity.SEARCH, write_content_size=False, write_checksum=False, write_dict_id=False)).compress(toxicity.ANCHOR + w + toxicity.ANCHOR[:16]))
+    saved = [size(model.ordinary_dict, w) - size(model.toxic_dict + model.ordinary_dict, w) for w in toxicity.windows(text)]
+    top = sorted(saved, reverse=True)[:4]
+    over = [sum(x >= k for x in saved) for k in (2, 3, 4, 5, 6)]
+    x = [top[0], sum(top) / 4, sum(saved) / len(saved), math.log(1 + len(saved)), sum(max(0, v - 1) for v in saved) / len(saved), *(math.log(1 + v) for v in over), *(math.sqrt(v / len(saved)) for v in over)]
+    z = sum((a - m) / d * w for a, m, d, w in zip(x, model.mean, model.scale, model.weights)) + model.weights[-1]
+    assert abs(toxicity.score_texts(model, [text])[0] - 1 / (1 + math.exp(-z))) < 1e-6
+
+
+def test_toxicity_learns_little_from_few_documents(spark):
+    _, caught, wrong = held_out_rates(spark, "/root/testdata/sf0.1")  # 300 toxic documents in four languages
+    assert caught >= 0.35 and wrong <= 0.015
+
+
+def test_toxicity_sample_is_bounded_and_takes_clashing_names(spark):
+    given, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    once = toxicity.labelled_sample(given, labels, most_toxic=5, most_ordinary=20)
+    odd = given.withColumns({"_id": F.lit(1), "_toxic": F.lit(2), "toxic": F.lit(3)})
+    assert once == toxicity.labelled_sample(odd.unionAll(odd).unionAll(odd), labels.unionAll(labels).withColumn("text", F.lit("x")), most_toxic=5, most_ordinary=20)
+    assert len(once[0]) <= 5 and len(once[1]) <= 20
+    assert toxicity.fresh(["a b c d e", "a b c d e", "a b c d f", "x", None]) == ["a b c d e", "a b c d f", "x", None]
 
 
 # lm

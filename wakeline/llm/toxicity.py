@@ -1,20 +1,25 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows of toxic texts and one on windows of ordinary
-texts. A window of a text that the toxic dictionary shortens more than the ordinary one speaks for
-toxicity; the window differences of a text are summed up in a few features, and a logistic
+Two zstandard dictionaries are trained, one on windows of toxic texts and one on windows of ordinary texts. A window is
+compressed once behind the ordinary dictionary and once behind both, the toxic one in front: what the second saves, only
+the toxic dictionary can have saved. The savings of a text's windows are summed up in a few features, and a logistic
 calibration fitted on documents that neither dictionary has seen turns them into a score.
 
-Edge cases: a null or empty text (or one without words) has no windows and gets the calibrated score
-of a text without evidence; repeated rows are scored alike; extra columns pass through `score_toxicity`
-untouched; an empty label table, or one with a single class, gives a constant score of 0.
+Most of a toxic text is ordinary, so the toxic dictionary is trained on the windows that matter, which compression itself
+picks: each half of the toxic texts trains a dictionary, the other half is compressed behind it, and the windows that
+save more than ordinary windows do (the cut with the widest gap between the two shares) are what the next round trains
+on. Copies of a text would make ordinary windows look telling, so a text whose word 4-grams were mostly seen before
+teaches nothing.
+
+Edge cases: a null or empty text (or one without words) has no windows and gets the calibrated score of a text without
+evidence; repeated rows are scored alike; other columns pass through `score_toxicity` (its own two, `score` and
+`predicted`, replace columns of these names); an empty label table, or one with a single class, gives a constant score
+of 0; of rows that repeat a doc_id the least text is learned from.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,21 +31,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW_BYTES = 24
-DICT_BYTES = 8 * 1024
+#: Bytes of each dictionary, and the segment and pattern sizes that the trainer takes them from.
+ORDINARY_BYTES, ORDINARY_TRAIN = 64 * 1024, {"k": 24, "d": 6}
+TOXIC_BYTES, TOXIC_TRAIN = 4 * 1024, {"k": 16, "d": 6}
 LEVEL = 3  # of the dictionary trainer
-#: Bounds of the sample of labelled rows that a model is fitted on: documents of each class, characters of one.
+#: Rounds of picking windows, and the share of ordinary windows that must save less than a picked one.
+ROUNDS, USUAL = 3, 0.99
+#: Bounds of the sample of labelled rows that a model is fitted on: documents of each class drawn, and the characters
+#: beyond which a drawn document is passed over.
 MAX_TOXIC, MAX_ORDINARY, MAX_FIT_CHARS = 2000, 3000, 20_000
-#: A window counts as suspicious when the toxic dictionary saves this many bytes more.
+#: A window counts as suspicious when the toxic dictionary saves this many bytes.
 STEPS = (2, 3, 4, 5, 6)
-RATIO = 12
-SUPPORT = 40
-FOLDS = 4
-TRAIN = {"k": 24, "d": 6}
-#: Both dictionaries end in this and every window begins with it: a block that gains less than two bytes would be
-#: stored as it is, and one short match in a window would not show.
+FOLDS = 2
+#: Every window begins with the end of the dictionaries and ends in its first half: a block that gains less than two
+#: bytes would be stored as it is, and the search does not look for matches in the last bytes of its input.
 ANCHOR = b"\x01\x02\x03\x04\x05\x06\x07\x0b\x0c\x0e\x0f\x10\x11\x12\x13\x14" * 2
 #: zstandard's search for matches: short ones count, as single words decide.
-SEARCH = {"strategy": zstd.STRATEGY_LAZY2, "min_match": 4, "search_log": 7, "hash_log": 16, "chain_log": 16, "window_log": 17, "target_length": 64}
+SEARCH = {"strategy": zstd.STRATEGY_BTLAZY2, "min_match": 4, "search_log": 7, "hash_log": 17, "chain_log": 18, "window_log": 17, "target_length": 64}
 
 
 def windows(text: str | None, width: int = WINDOW_BYTES) -> list[bytes]:
@@ -74,18 +81,19 @@ class ToxicityModel:
 
 
 class _Lengths:
-    """Compressed lengths of windows under the two dictionaries of a model."""
+    """Compressed lengths of windows behind the ordinary dictionary of a model, and behind both."""
 
     def __init__(self, model: ToxicityModel):
         self.pair = []
-        for raw in (model.ordinary_dict, model.toxic_dict):
+        for raw in (model.ordinary_dict, model.toxic_dict + model.ordinary_dict):
             d = zstd.ZstdCompressionDict(raw + ANCHOR, dict_type=zstd.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=zstd.ZstdCompressionParameters(**SEARCH))
             self.pair.append(zstd.ZstdCompressor(dict_data=d, compression_params=zstd.ZstdCompressionParameters(**SEARCH, write_content_size=False, write_checksum=False, write_dict_id=False)).compress)
 
     def differences(self, pieces: list[bytes]) -> np.ndarray:
         o, t = self.pair
-        return np.fromiter((len(o(w)) - len(t(w)) for w in map(ANCHOR.__add__, pieces)), np.float64, len(pieces))
+        tail = ANCHOR[: len(ANCHOR) // 2]
+        return np.fromiter((len(o(w)) - len(t(w)) for w in (ANCHOR + p + tail for p in pieces)), np.float64, len(pieces))
 
 
 def features(diff: np.ndarray) -> list[float]:
@@ -97,13 +105,12 @@ def features(diff: np.ndarray) -> list[float]:
     return [float(top[0]), float(top.sum() / 4), float(diff.mean()), math.log1p(n), float(np.maximum(diff - 1, 0).mean()), *map(math.log1p, over), *(math.sqrt(x / n) for x in over)]
 
 
-def _dictionary(pieces: list[bytes]) -> bytes:
-    """The content of a trained dictionary; the samples themselves where there is too little to train on."""
+def trained(pieces: list[bytes], size: int, parameters: dict) -> bytes:
+    """A dictionary trained on windows; the windows themselves where there are too few to train on."""
     try:
-        d = zstd.train_dictionary(DICT_BYTES, pieces, level=LEVEL, **TRAIN)
-        return d.as_bytes()[-DICT_BYTES + 1024 :] if len(d) >= 2048 else b" ".join(pieces)[-DICT_BYTES:]
+        return zstd.train_dictionary(size, pieces, level=LEVEL, **parameters).as_bytes()
     except zstd.ZstdError:
-        return b" ".join(pieces)[-DICT_BYTES:]
+        return b"".join(dict.fromkeys(pieces))[-size:]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> np.ndarray:
@@ -120,36 +127,49 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40
     return w
 
 
-def support(texts: list[str]) -> Counter:
-    """For each word, the number of different neighbourhoods it stands in; copies of a text add none."""
-    seen: dict[bytes, set[int]] = defaultdict(set)
+def fresh(texts: list[str]) -> list[str]:
+    """The texts without those of which most word 4-grams stand in an earlier one."""
+    seen, out = set(), []
     for text in texts:
-        w = [b"", *(text or "").lower().encode("utf-8", "replace").split(), b""]
-        for before, word, after in zip(w, w[1:], w[2:]):
-            seen[word].add(zlib.crc32(before + b" " + after))
-    return Counter({w: len(x) for w, x in seen.items()})
+        w = (text or "").lower().split()
+        grams = {hash(" ".join(w[i : i + 4])) for i in range(max(1, len(w) - 3))}
+        if 2 * len(grams & seen) <= len(grams):
+            out.append(text)
+        seen |= grams
+    return out
+
+
+def telling(savings: np.ndarray, usual: np.ndarray) -> float:
+    """The least saving at which windows of toxic texts stand out most from ordinary windows."""
+    least = max(2.0, float(np.quantile(usual, USUAL)) if len(usual) else 2.0)
 
+    def gap(cut: float) -> float:
+        bad, good = (savings >= cut).mean(), (usual >= cut).mean() if len(usual) else 0.0
+        return (bad - good) ** 2 / (bad + good + 1e-9)
 
-def contrast(toxic: list[str], ordinary: list[str]) -> set[bytes]:
-    """Words that take a share of toxic text at least `RATIO` times their share of ordinary text."""
-    bad, good = support(toxic), support(ordinary)
-    n_bad, n_good = sum(bad.values()), sum(good.values())
-    return {w for w, n in bad.items() if n >= max(3, len(toxic) // SUPPORT) and n * n_good >= RATIO * (good[w] + 1) * n_bad}
+    return max((least + i for i in range(10)), key=lambda c: (gap(c), -c))
 
 
 def dictionaries(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
-    """The two dictionaries. Most of a toxic text is ordinary text, so the toxic samples are stripped of the
-    words that ordinary documents use as well, and the toxic dictionary stands before the ordinary one: the
-    two lengths of a window then differ only by what the toxic text adds."""
-    words = contrast(toxic, ordinary)
-    base = _dictionary([p for text in ordinary for p in windows(text)])
-    bad = [b" " + b" ".join(own) + b" " for text in toxic for p in windows(text) if (own := [w for w in p.split() if w in words])]
-    return ToxicityModel(base + _dictionary(bad), base)
+    """The two dictionaries, the toxic one trained on the windows that the halves of the toxic texts pick for each other."""
+    plain, bad = ([[windows(t) for t in part[h::2]] for h in (0, 1)] for part in (fresh(ordinary), fresh(toxic)))
+    plain, bad = ([[p for text in half for p in text] for half in part] for part in (plain, bad))
+    base = [trained(plain[1 - h], ORDINARY_BYTES, ORDINARY_TRAIN) for h in (0, 1)]  # for the half that it has not seen
+    picked = bad
+    for _ in range(ROUNDS):
+        new = []
+        for h in (0, 1):
+            lengths = _Lengths(ToxicityModel(trained(picked[1 - h], TOXIC_BYTES, TOXIC_TRAIN), base[h]))
+            saved = lengths.differences(bad[h])
+            cut = telling(saved, lengths.differences(plain[h])) if len(saved) else 0.0
+            new.append([p for p, x in zip(bad[h], saved) if x >= cut])
+        picked = new
+    return ToxicityModel(trained(picked[0] + picked[1], TOXIC_BYTES, TOXIC_TRAIN), trained(plain[0] + plain[1], ORDINARY_BYTES, ORDINARY_TRAIN))
 
 
 def fit(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     """Dictionaries from all labelled texts; the calibration from texts left out in turn (`FOLDS` parts)."""
-    if len(toxic) < FOLDS or len(ordinary) < FOLDS:
+    if len(toxic) < 2 * FOLDS or len(ordinary) < 2 * FOLDS:
         return ToxicityModel(b"", b"", constant=0.0)
     x, y = [], []
     for k in range(FOLDS):
@@ -176,9 +196,11 @@ def score_texts(model: ToxicityModel, texts: list[str | None]) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, where: Column | None = None, most_toxic: int = MAX_TOXIC, most_ordinary: int = MAX_ORDINARY, longest: int = MAX_FIT_CHARS) -> tuple[list[str], list[str]]:
-    """At most so many toxic and ordinary texts of at most `longest` characters, picked by a hash of doc_id.
+    """The texts of at most so many toxic and ordinary documents, drawn by a hash of doc_id; drawn ones of more than
+    `longest` characters are passed over. `where` is a condition on `_id`.
 
-    The labels are sampled first; the sample, bounded by its limits, is then broadcast against the documents.
+    The labels are sampled first; the sample, bounded by its limits, is then broadcast against the documents. One text
+    of each doc_id is collected.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where(F.col("_id").isNotNull() & F.col("_toxic").isin(0, 1))
     if where is not None:
@@ -186,8 +208,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, where: Column | None = N
     known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     pick = lambda k, n: known.where(F.col("_toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(n)
     chosen = pick(1, most_toxic).unionAll(pick(0, most_ordinary))
-    rows = docs.where(F.length("text").between(1, longest)).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "_toxic", "text").collect()
-    rows.sort(key=lambda r: (r["_id"], r["text"]))
+    texts = docs.select(F.col("doc_id").alias("_id"), "text").where(F.length("text").between(1, longest))
+    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_toxic").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r["_id"])
     return [r["text"] for r in rows if r["_toxic"] == 1], [r["text"] for r in rows if r["_toxic"] == 0]
 
 
@@ -212,8 +235,8 @@ def held_out(doc_id: Column, parts: int = 3, part: int = 1) -> Column:
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """All rows and columns of `docs` with `score` (0 to 1) and `predicted` (1 where score >= threshold)."""
-    return docs.withColumn("score", toxicity_score(model, F.col("text"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    """All rows and other columns of `docs` with `score` (0 to 1) and `predicted` (1 where score >= threshold)."""
+    return docs.drop("score", "predicted").withColumn("score", toxicity_score(model, F.col("text"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
