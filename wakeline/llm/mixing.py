@@ -7,7 +7,8 @@ and ordered within them by another hash: a global shuffle that comes out alike o
 
 Edge cases: a null source is the source ''; a null text has no characters; a source without characters has rate 0; a
 null doc_id draws by its text; repeated rows draw the same number, each row by itself; an empty table gives no rows;
-columns of `docs` named like the new ones (`copy`, `shuffle_key`) are replaced.
+columns of `docs` named like the new ones (`copy`, `shuffle_key`) are replaced, all others pass through, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import checked_join, materialise
+from wakeline.llm.common import checked_join, materialise, spare
 
 SEED, TEMPERATURE = 20240501, 0.5
 HEX_DRAW, HEX_KEY = 13, 15  # hex digits of a hash: 52 bits make a double in [0, 1), 60 bits a key
@@ -52,11 +53,13 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
 
 def replicate(docs: DataFrame, rates: DataFrame, seed: int = SEED) -> DataFrame:
     """All columns of `docs` with `copy` (from 1), one row for each copy, in no order yet."""
-    kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    kept = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
+    source, drawn, times, cdf = spare(docs.columns, "_source", "_drawn", "_times", "_cdf")
     named = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
-    drawn = docs.select(*kept, F.coalesce("source", F.lit("")).alias("_source"), (_hash(seed, named, digits=HEX_DRAW) / F.lit(float(16**HEX_DRAW))).alias("_u"))
-    drawn = checked_join(drawn, rates, "_source").withColumn("_n", F.size(F.filter("cdf", lambda c: c <= F.col("_u")))).where("_n > 0")
-    return drawn.select(*kept, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.coalesce("source", F.lit("")).alias(source), (_hash(seed, named, digits=HEX_DRAW) / F.lit(float(16**HEX_DRAW))).alias(drawn))
+    rows = checked_join(rows, rates.select(F.col("_source").alias(source), F.col("cdf").alias(cdf)), source)
+    rows = rows.withColumn(times, F.size(F.filter(cdf, lambda c: c <= F.col(drawn)))).where(F.col(times) > 0)
+    return rows.select(*(F.col(f"`{c}`") for c in kept), F.explode(F.sequence(F.lit(1), F.col(times))).alias("copy"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, budget: float = 1.0, seed: int = SEED) -> DataFrame:

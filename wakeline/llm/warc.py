@@ -8,7 +8,8 @@ the others revisit it.
 Reading: the driver plans one partition for each file. Filters on record type and other header fields are taken over
 from Spark; a task inflates no more of a record than its headers, tests the filters on them, and only then decodes the
 payload, if it is wanted at all. Otherwise it jumps to the next member by the length in the extra field; archives
-without it, and plain .warc files, are read too.
+without it, members that hold many records, and plain .warc files are read too. Every record but a revisit has a
+payload: the body of an HTTP message, or else the whole block.
 
 Paths go through pyarrow's file systems (file:, hdfs:, s3: and so on). Edge cases: null html is an empty payload; empty
 payloads count as equal; a null page_id sorts below all others and gets a random record id, a null url no target; rows
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
 
-from wakeline.llm.common import checked_join, materialise, shared_dir
+from wakeline.llm.common import checked_join, delete_at_exit, materialise, shared_dir
 
 SCHEMA = "record_id string, record_type string, target_uri string, page_id long, payload_bytes long, payload_digest string, refers_to long, headers map<string,string>, payload binary"
 #: Fields known from the headers alone, on which filters can be tested before the payload.
@@ -162,7 +163,7 @@ def records(src: _Bytes, wanted) -> Iterator[tuple[dict[str, str], bytes | None]
             headers = _parse(head)
             want = wanted(headers)
             if want or not length:
-                parts = [rest]
+                parts, head = [rest], b""
                 while not d.eof and at <= src.size:
                     chunk = d.unconsumed_tail or src.get(at, WINDOW // 2)
                     if not chunk:
@@ -171,8 +172,16 @@ def records(src: _Bytes, wanted) -> Iterator[tuple[dict[str, str], bytes | None]
                     parts.append(d.decompress(chunk))
                 length = length or at - len(d.unused_data) + 8 - pos
                 rest = b"".join(parts)
-            if want is not None:
-                yield headers, rest[: int(headers.get("content-length", 0))] if want else None
+            while headers is not None:
+                if want is not None:
+                    yield headers, rest[: int(headers.get("content-length", 0))] if want else None
+                # What follows the block in the same member, if all of it was inflated, is another record.
+                rest = rest[int(headers.get("content-length", 0)) :].lstrip(b"\r\n") if not head else b""
+                headers = None
+                if rest:
+                    more, _, rest = rest.partition(b"\r\n\r\n")
+                    headers = _parse(more)
+                    want = wanted(headers)
             pos += length
         else:
             n = 8192
@@ -246,7 +255,7 @@ class WarcReader(DataSourceReader):
             row = early_fields(h)
             if not all(holds(f, row) for f in self.filters):
                 return None
-            return (self.payload or self.verify) and row["record_type"] == "response"
+            return (self.payload or self.verify) and row["record_type"] != "revisit"
 
         for h, block in records(_Bytes(partition.path), wanted):
             row, n = early_fields(h), h.get("warc-x-payload-length")
@@ -306,9 +315,13 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False, verify: boo
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Archive `pages` in the shared folder and read the archives back; payloads are decoded and checked."""
+    """Archive `pages` in the shared folder and read the archives back; payloads are decoded and checked.
+
+    The archives are read when the result is; the driver deletes them when its session ends.
+    """
     path = shared_dir(pages.sparkSession)
     write_warc(pages, path)
+    delete_at_exit(pages.sparkSession, path)
     return read_warc(pages.sparkSession, path, verify=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
 
 
