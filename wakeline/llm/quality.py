@@ -3,12 +3,15 @@
 Each line with a word gets binary features of its look (symbols, capitals, repetition, length, ending, and so on). A
 chain of two labels, content and boilerplate, with weights for features, label changes and the first label is fitted by
 maximum likelihood (forward-backward, Adam) on a bounded sample of labelled documents: the lines of a document of
-quality 1 count as content, those of a document of quality 0 as boilerplate. The best label sequence of a text
-gives the share of its words in content lines; a text is kept if it passes the base rules and the share is high enough.
+quality 1 count as content, those of a document of quality 0 as boilerplate. As the lines of a document all bear its
+label, sequences in which the label changes are put together: a run of lines of a document of one quality is set into
+one of the other. The best label sequence of a text gives the share of its words in content lines; a text is kept if it
+passes the base rules and the share is high enough.
 
 Words are runs of characters other than space and \\t \\n \\v \\f \\r. Edge cases: a null text counts as empty; texts of fewer
 than 20 words, so empty and blank ones, fail the base rules; without labels of both kinds every text has content share
-1; repeated rows are judged alike; null doc_ids are kept; extra columns pass through `judge` untouched.
+1; repeated rows are judged alike (the least text of a repeated doc_id is learned from); null doc_ids are kept; extra
+columns pass through `judge` untouched.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ CLASS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, REPEAT_PERCENT = 8, 20, 30
 #: Bounds of the sample that the field is fitted on: documents of each quality, lines and characters of one.
 MAX_DOCS, MAX_LINES, MAX_CHARS = 400, 48, 20_000
+GLUED_LINES = 16  # of each of the two documents of a sequence put together
 CONTENT_SHARE, STEPS, RATE, RIDGE = 0.35, 120, 0.1, 1e-3
 
 FEATURES = ("bias", "repeated", "symbols>2%", "symbols>8%", "capitals>20%", "capitals>60%", "digits>20%", "bars", "bangs", "words<4", "words>=12", "few different words", "long words", "ends a sentence", "first", "mean word < 3")
@@ -130,21 +134,32 @@ def fit_field(docs: list[list[tuple[np.ndarray, int]]] | list[tuple[np.ndarray,
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MAX_DOCS) -> LineField | None:
-    """Fit on at most `most` documents of each quality of at most MAX_CHARS characters, and MAX_LINES lines of each."""
+    """Fit on at most `most` drawn documents of each quality (those of more than MAX_CHARS characters are passed over),
+    MAX_LINES lines of each, and on as many sequences put together."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality")).where(F.col("_id").isNotNull() & F.col("_quality").isin(0, 1))
     known = known.groupBy("_id").agg(F.max("_quality").alias("_quality"))
     pick = lambda q: known.where(F.col("_quality") == q).orderBy(F.xxhash64("_id"), "_id").limit(most)
-    rows = docs.where(F.length("text").between(1, MAX_CHARS)).join(F.broadcast(pick(0).unionAll(pick(1))), F.col("doc_id") == F.col("_id")).select("_id", "_quality", "text").collect()
-    rows.sort(key=lambda r: (r["_id"], r["text"]))
-    if len({r["_quality"] for r in rows}) < 2:
+    texts = docs.select(F.col("doc_id").alias("_id"), "text").where(F.length("text").between(1, MAX_CHARS))
+    rows = texts.join(F.broadcast(pick(0).unionAll(pick(1))), "_id").groupBy("_id", "_quality").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r["_id"])
+    good, bad = ([[x for x, _ in content_lines(r["text"])] for r in rows if r["_quality"] == q] for q in (1, 0))
+    if not good or not bad:
         return None
-    data = []
-    for r in rows:
-        lines = content_lines(r["text"])[:MAX_LINES]
-        data.append((featured(lines), np.full(len(lines), int(r["_quality"] == 0))))
+    data = [sequence([(lines[:MAX_LINES], y)]) for y, part in enumerate((good, bad)) for lines in part]
+    for i in range(max(len(good), len(bad))):
+        pair = (good[i % len(good)][:GLUED_LINES], 0), (bad[i % len(bad)][:GLUED_LINES], 1)
+        (outer, y), (inner, z) = pair if i % 2 else pair[::-1]
+        cut = (i // 2) % (len(outer) + 1)
+        data.append(sequence([(outer[:cut], y), (inner, z), (outer[cut:], y)]))
     return fit_field(data)
 
 
+def sequence(parts: list[tuple[list[str], int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of runs of lines, one after the other, each with its label."""
+    lines = content_lines("\n".join(x for run, _ in parts for x in run))
+    return featured(lines), np.repeat([y for _, y in parts], [len(run) for run, _ in parts])
+
+
 def repeated_words(words: list[bytes], ids: np.ndarray) -> int:
     """Words that lie in a window of eight words found twice or more; hashes propose, the words themselves confirm."""
     n = len(words) - WINDOW + 1
