@@ -260,9 +260,52 @@ def test_line_field_decodes_the_best_sequence_and_tells_quality(spark):
     assert n.get((1, False), 0) <= 0.01 * n[1, True] and n.get((0, True), 0) <= 0.1 * n[0, False]
 
 
+def test_quality_learns_label_changes_and_decides_by_the_share(spark):
+    given, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    field = quality.fit_quality(given, labels)
+    assert field.change[0, 0] > field.change[0, 1] and field.change[1, 1] > field.change[1, 0]
+    judged = quality.judge(given, field)
+    assert judged.where("content_share > 0 and content_share < 1").count() >= 20
+    known = given.join(labels, "doc_id").where("length(text) between 800 and 1500").orderBy("doc_id")
+    good, bad = ([r["text"] for r in known.where(f"quality = {q}").limit(12).collect()] for q in (1, 0))
+    rows = [(k, f"{g}\n{b}\n{g[::-1]}") for k, (g, b) in enumerate(zip(good, bad))]
+    for r in quality.judge(docs(spark, rows), field).collect():
+        lines = [x for x in r["text"].split("\n") if x.split()]
+        x = [quality.line_features(t, t in lines[:i], i == 0) for i, t in enumerate(lines)]
+        best = [(field.start[y] + y * float(np.dot(x[0], field.weights)), [y]) for y in (0, 1)]  # the best way to each label, by definition
+        for f in x[1:]:
+            best = [max(((v + field.change[w[-1], y] + y * float(np.dot(f, field.weights)), w + [y]) for v, w in best), key=lambda b: b[0]) for y in (0, 1)]
+        label = max(best, key=lambda b: b[0])[1]
+        size = [len(t.split()) for t in lines]
+        share = sum(n for n, y in zip(size, label) if not y) / sum(size)
+        assert abs(r["content_share"] - share) < 1e-12 and r["kept"] == (not r["base_failed"] and share >= quality.CONTENT_SHARE)
+
+
+def test_quality_sample_is_bounded_and_takes_clashing_names(spark):
+    given, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    odd = given.withColumns({"_id": F.lit(1), "_quality": F.lit(2), "quality": F.lit(3)})
+    a, b = quality.fit_quality(given, labels), quality.fit_quality(odd.unionAll(odd), labels.unionAll(labels).withColumn("text", F.lit("x")))
+    assert np.allclose(a.weights, b.weights) and np.allclose(a.change, b.change)
+
+
 # warc
 
 
+def test_warc_other_records_and_members_of_many_records(spark, tmp_path):
+    import gzip
+
+    record = lambda kind, body: f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{kind}>\r\nContent-Type: text/plain\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+    kinds = {"warcinfo": "software: x\r\n\r\n", "conversion": "plain words " * 900, "resource": "", "metadata": "WARC/1.0"}
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "one.warc.gz").write_bytes(gzip.compress(b"".join(record(k, v) for k, v in kinds.items())))
+    (tmp_path / "m" / "two.warc.gz").write_bytes(b"".join(gzip.compress(record(k, v)) for k, v in kinds.items()))
+    got = warc.read_warc(spark, f"file://{tmp_path}/m", payload=True).collect()
+    assert sorted((r["record_type"], bytes(r["payload"]).decode()) for r in got) == sorted([*kinds.items()] * 2)
+    some = warc.read_warc(spark, f"file://{tmp_path}/m", payload=True).where("record_type = 'conversion'").collect()
+    assert [r["payload_bytes"] for r in some] == [len(kinds["conversion"])] * 2
+    assert warc.read_warc(spark, f"file://{tmp_path}/m").count() == 8
+
+
 def test_warc_round_trip_pushdown_and_skipping(spark, tmp_path):
     rows = [(1, "http://a", "same"), (5, "http://b", "same"), (3, None, "same"), (4, "http://c", None), (6, "http://d\r\nx", ""), (7, "http://e", "ünï" * 50_000), (None, "http://f", "same"), (7, "http://e", "ünï" * 50_000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, record_type int")
@@ -333,7 +376,51 @@ def test_pii_base_spans_equal_brute_force_and_stay(spark):
 def test_pii_matches_are_located_where_they_matched(spark):
     text = "ü ref X4155550123 then call 4155550123"
     got = docs(spark, [(1, text)]).select(pii.located(F.col("text"), pii.GENERATORS["digits_long"]).alias("s")).first()["s"]
-    assert [tuple(s) for s in got] == [(text.rindex("4155550123"), len(text), "4155550123")]
+    assert [tuple(s) for s in got] == [(text.rindex("4155550123"), len(text), "4155550123", text[:-10].lower()[-32:], "")]
+
+
+def test_pii_generators_equal_brute_force(spark):
+    rng = random.Random(12)
+    parts = ["5551234567", "x", "555", "-", "_", " ", "(415)", "ü", "/", "+", "=", ".", "\n", "john", " [at] ", "(AT)", " at ", " dot ", "[dot]", "com", "a1b2c3d4e5f6a7b8c9d0e1f2", "ABCDEFGHIJ", "12", "4111"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(250)] + ["", " ".join(["5551234567 x5551234567"] * 150)]
+    df = docs(spark, list(enumerate(texts)))
+    for name, pattern in pii.GENERATORS.items():
+        got = {r["doc_id"]: [tuple(s) for s in r["s"]] for r in df.select("doc_id", pii.located(F.col("text"), pattern).alias("s")).collect()}
+        for i, t in enumerate(texts):
+            found = list(re.finditer(pattern, t))
+            ends = [0, *(m.end() for m in found)]
+            assert got[i] == [(m.start(), m.end(), m.group(), t[e : m.start()].lower()[-32:], t[m.end() : m.end() + 1] if k + 1 == len(found) or m.end() < found[k + 1].start() else "") for k, (m, e) in enumerate(zip(found, ends))], name
+
+
+def test_pii_redaction_leaves_no_span_and_other_columns_alone(spark):
+    model = pii.fit_pii(spark)
+    rows = [(1, "serial x5551234567 and phone 5551234567 now"), (2, "a@b.cc " * 5000 + "end"), (3, " ".join(f"call {5550000000 + k}," for k in range(400))), (4, None), (5, "nothing")]
+    clash = ["_text", "_base", "_spans", "_flat", "_added", "_TEXT_"]
+    df = docs(spark, rows).withColumns({c: F.lit(f"own {c}") for c in clash})
+    got = {r["doc_id"]: r for r in pii.redact(df, model).collect()}
+    assert pii.redact(df, model).columns == df.columns and all(r[c] == f"own {c}" for r in got.values() for c in clash)
+    assert got[1]["text"] == "serial x5551234567 and phone [PHONE] now" and got[2]["text"] == "[EMAIL] " * 5000 + "end" and got[3]["text"] == " ".join(["call [PHONE],"] * 400)
+    assert got[4]["text"] is None and got[5]["text"] == "nothing"
+    spans = {r["doc_id"]: r["spans"] for r in pii.find_pii(df, model).collect()}
+    for i, t in rows[:3]:
+        out, at = "", 0
+        for k, a, b in sorted(((x.split(":")) for x in spans[i].split(",")), key=lambda x: int(x[1])):
+            out, at = f"{out}{t[at : int(a)]}[{k.upper()}]", int(b)
+        assert got[i]["text"] == out + t[at:]
+
+
+def test_pii_on_texts_that_the_training_set_did_not_write(spark):
+    want = {
+        "Reach me: jane.doe [at] example [dot] org or (415) 555-0132 after six.": "Reach me: [EMAIL] or [PHONE] after six.",
+        "My SSN is 078-05-1120, keep it safe": "My SSN is [ID], keep it safe",
+        "export AWS_SECRET=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY": "export AWS_SECRET=[SECRET]",
+        "Order no. 4155550123 shipped on 2021-03-04 at 10:20:30.123456789": None,
+        "The Donaudampfschifffahrtsgesellschaftskapitaen wrote about antidisestablishmentarianism": None,
+        "commit 3f786850e387550fdab836ed7e6dc881de23001b fixes it; see ISBN 978-3-16-148410-0": None,
+        "see src/main/java/org/example/project/module/ClassName and some_very_long_function_name_in_code": None,
+    }
+    got = pii.redact(docs(spark, list(enumerate(want))), pii.fit_pii(spark)).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == [w or t for t, w in want.items()]
 
 
 def test_pii_long_secrets_and_other_forms_of_mail(spark):
@@ -452,11 +539,28 @@ def test_mixing_rates_and_edges(spark):
     counts = mixing.replicate(df.where("source = 's1'"), mixing.source_rates(df.where("source = 's1'"), budget=40.0)).groupBy("doc_id").count().toPandas()["count"]
     assert abs(counts.mean() - 40) < 1 and abs(counts.var() / 40 - 1) < 0.15
     assert mixing.mix(docs(spark, [])).count() == 0
+    clash = df.withColumns({c: F.lit(c) for c in ("cdf", "rate", "_source", "_u", "_n", "_times", "_drawn", "_cdf", "SHUFFLE_KEY")})
+    odd, plain = mixing.mix(clash), mixing.mix(df)
+    assert odd.select(*plain.columns).exceptAll(plain).count() == 0 and odd.where("cdf = 'cdf' and rate = 'rate' and _n = '_n' and _source = '_source'").count() == odd.count() == plain.count()
 
 
 # shared
 
 
+def test_spare_names_and_the_shared_folder(spark):
+    from wakeline.llm.common import shared_dir, spare
+
+    assert spare(["_A", "b", "_a_"], "_a", "_c", "_c") == ["_a__", "_c", "_c_"]
+    assert shared_dir(spark) != shared_dir(spark)
+
+    class Elsewhere:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "x"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Elsewhere)
+
+
 def test_checked_join_and_materialise(spark):
     a, b = spark.range(100).toDF("k"), spark.range(50).toDF("k")
     assert checked_join(a, b, "k", max_rows=10).count() == checked_join(a, b, "k").count() == 50
@@ -476,3 +580,21 @@ def test_pipeline_stages(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert decontaminate.leaks(at, bench).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "benchmark_decontamination", "pii", "mixing"]
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls in any column, odd and very long texts, ties, repeated rows, an empty table and clashing names."""
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    own = ["_id", "_text", "_source", "rate", "cdf", "rep", "weight", "_u", "_n", "path", "part", "predicted"]
+    odd = spark.createDataFrame([(i, t, None, None, None) for i, t in [*ODD, (None, None)]], given.schema)
+    table = given.limit(60).unionByName(odd).unionByName(given.limit(5)).withColumns({c: F.lit(c) for c in own})
+    for name, rows in (("odd", table), ("empty", table.limit(0))):
+        at = rows
+        for k, (stage_name, stage) in enumerate(corpus_pipeline.STAGES):
+            after = materialise(stage(spark, at, SF))
+            if k < 4:
+                assert after.columns == rows.columns, stage_name
+                assert after.where("doc_id is null").count() == at.where("doc_id is null").count(), stage_name
+                assert after.where(" or ".join(f"{c} != '{c}'" for c in own)).count() == 0
+            at = after
+        assert (at.count() == 0) == (name == "empty")

@@ -9,10 +9,13 @@ that set that the trees have not seen, decides. An added span that overlaps a ba
 score, is dropped.
 
 The patterns equal the base patterns but are written so that Java's matcher neither recurses nor backtracks over long
-runs (possessive quantifiers; a run is entered at its start or where the last match ended).
+runs (possessive quantifiers; a run is entered at its start or where the last match ended). Running sums over the
+matches of a text and comparisons between its spans go by blocks of `BLOCK`, so that the time of a text with very many
+matches grows little faster than its length.
 
 Edge cases: a null text is empty and has no spans; empty, blank and very long texts are ordinary; a null doc_id is kept;
-repeated rows are treated alike; other columns pass through `redact` and are ignored by `find_pii`.
+repeated rows are treated alike; other columns, whatever their names, pass through `redact` and are ignored by
+`find_pii`.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wakeline.llm.common import spare
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "id", "secret")
 BASE = {
@@ -37,14 +42,14 @@ BASE = {
 #: Cheap tests that a text must pass to hold a span of the kind or generator at all.
 GATE = {"email": "@", "ip": ".", "phone": "+"}
 GENERATORS = {
-    "mail_marked": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\[dot\]|\(dot\)|\{dot\}) ?[A-Za-z0-9-]{1,63}+)++",
-    "mail_spoken": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ at [A-Za-z0-9-]{1,63}+(?: dot [A-Za-z0-9-]{1,63}+(?= dot [A-Za-z]{2}))*+ dot [A-Za-z]{2,24}+",
+    "mail_marked": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)|\{dot\}) ?[A-Za-z0-9-]++)++",
+    "mail_spoken": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++(?= dot [A-Za-z]{2}))*+ dot [A-Za-z]{2,}+",
     "digits_grouped": r"(?<![0-9A-Za-z+])\(?[0-9]{2,4}+\)?(?:[\x20./-]{1,2}+[0-9]{2,7}+){2,4}+(?![0-9A-Za-z])",
-    "digits_long": r"(?<![0-9A-Za-z])[0-9]{9,19}+(?![0-9A-Za-z])",
+    "digits_long": r"(?<![0-9A-Za-z])[0-9]{9,}+(?![0-9A-Za-z])",
     "token": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+",
     "token_base64": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_-]*+[+/=])[A-Za-z0-9_+/-]{20,}+={0,2}+",
 }
-CONTEXT = 32
+CONTEXT, BLOCK = 32, 64
 WORDS = {
     "phone": r"phone|tel|call|mobile|cell|fax|whatsapp",
     "card": r"card|visa|credit|debit|mastercard|amex|pan\b",
@@ -53,8 +58,8 @@ WORDS = {
     "secret": r"key|token|secret|password|passwd|pwd|bearer|credential",
     "other": r"order|invoice|isbn|version|commit|sha|hash|date|ref|sku|part|serial|article",
 }
-FEATURES = ("digits", "length", "letters", "separators", "luhn", "shape_phone", "shape_id", "shape_card", "shape_date", "distinct", "hex", *(f"near_{k}" for k in WORDS), *(f"by_{g}" for g in GENERATORS), "beside", "zeros")
-TREES, RATE, PRECISION, TRAINING, SEED = 40, 0.3, 0.99, 2400, 11
+FEATURES = ("digits", "length", "letters", "separators", "luhn", "shape_phone", "shape_id", "shape_card", "shape_date", "distinct", "hex", "capitals", "changes", *(f"near_{k}" for k in WORDS), *(f"by_{g}" for g in GENERATORS), "beside", "zeros")
+TREES, RATE, PRECISION, TRAINING, SEED = 60, 0.3, 0.99, 3600, 11
 
 
 def luhn(digits: Column) -> Column:
@@ -71,8 +76,36 @@ def _digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, as lambdas would otherwise repeat its expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def in_blocks(items: Column) -> Column:
+    """An array cut into arrays of at most BLOCK items; a single empty one for none."""
+    last = F.greatest(F.ceil(F.size(items) / BLOCK).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * BLOCK + 1, BLOCK))
+
+
+def running(items: Column, kind: str, value, plus, zero: int = 0) -> Column:
+    """array<struct<before: int, item: kind>>: each item with what the values of those before it come to."""
+    at = F.lit(zero)
+
+    def offsets(blocks: Column) -> Column:
+        start = F.struct(F.array().cast("array<int>").alias("all"), at.alias("at"))
+        return F.aggregate(blocks, start, lambda acc, b: F.struct(F.concat(acc["all"], F.array(acc["at"])).alias("all"), plus(acc["at"], F.aggregate(b, at, lambda x, i: plus(x, value(i)))).alias("at")))["all"]
+
+    def within(block: Column, before: Column) -> Column:
+        start = F.struct(F.array().cast(f"array<struct<before:int,item:{kind}>>").alias("all"), before.alias("at"))
+        step = lambda acc, i: F.struct(F.concat(acc["all"], F.array(F.struct(acc["at"].alias("before"), i.alias("item")))).alias("all"), plus(acc["at"], value(i)).alias("at"))
+        return F.aggregate(block, start, step)["all"]
+
+    return let(items, lambda x: let(in_blocks(x), lambda b: F.flatten(F.zip_with(b, offsets(b), within))))
+
+
 def located(text: Column, pattern: str, gate: str | None = None) -> Column:
-    """array<struct<start, end, match>> of the matches of a pattern, left to right, in code points, end exclusive.
+    """array<struct<start, end, match, before, next>> of the matches of a pattern, left to right, in code points, end
+    exclusive; `before` is the text since the match before it (the last CONTEXT characters), `next` the character behind.
 
     The pieces between the matches come from splitting by the same pattern, so each match starts where its piece ends.
     """
@@ -80,13 +113,42 @@ def located(text: Column, pattern: str, gate: str | None = None) -> Column:
     if gate:
         passes = F.contains(F.lower(text), F.lit(gate))
         matches, pieces = (F.when(passes, x).otherwise(F.array().cast("array<string>")) for x in (matches, pieces))
-    zero = F.struct(F.array().cast("array<struct<start:int,end:int,match:string>>").alias("spans"), F.lit(0).alias("at"), pieces.alias("pieces"))
 
-    def add(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.length(F.get(acc["pieces"], F.size(acc["spans"])))
-        return F.struct(F.concat(acc["spans"], F.array(F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match")))).alias("spans"), (start + F.length(m)).alias("at"), acc["pieces"].alias("pieces"))
+    def span(x: Column) -> Column:
+        i = x["item"]
+        start = x["before"] + F.length(i["piece"])
+        context = F.lower(F.substring(i["piece"], -CONTEXT, CONTEXT))
+        return F.struct(start.alias("start"), (start + F.length(i["match"])).alias("end"), i["match"].alias("match"), context.alias("before"), i["next"].alias("next"))
+
+    def found(m: Column) -> Column:
+        def paired(p: Column) -> Column:
+            follow = F.transform(F.slice(p, 2, F.size(m)), lambda x: F.substring(x, 1, 1))
+            return F.zip_with(F.arrays_zip(m.alias("match"), F.slice(p, 1, F.size(m)).alias("piece")), follow, lambda x, n: F.struct(x["match"].alias("match"), x["piece"].alias("piece"), n.alias("next")))
+
+        return F.transform(running(let(pieces, paired), "struct<match:string,piece:string,next:string>", lambda i: F.length(i["piece"]) + F.length(i["match"]), lambda a, b: a + b), span)
+
+    none = F.array().cast("array<struct<start:int,end:int,match:string,before:string,next:string>>")
+    return let(matches, lambda m: F.when(F.size(m) == 0, none).otherwise(found(m)))
+
+
+def untouched(spans: Column, others: Column, beats) -> Column:
+    """The spans, by start, that overlap none of `others` with beats(other, span). Both must have start and end first."""
 
-    return F.aggregate(matches, zero, add)["spans"]
+    def bounded(block: Column) -> Column:
+        ends = F.aggregate(block, F.lit(0), lambda a, x: F.greatest(a, x["end"]))
+        return F.struct(F.coalesce(F.get(block, F.lit(0))["start"], F.lit(0)).alias("lo"), ends.alias("hi"), block.alias("items"))
+
+    def blocks(x: Column) -> Column:
+        return F.transform(in_blocks(x), bounded)
+
+    def left(o: Column, s: Column) -> Column:
+        def alone(b: Column) -> Column:
+            near = F.filter(o, lambda c: (c["lo"] < b["hi"]) & (b["lo"] < c["hi"]))
+            return let(near, lambda n: F.filter(b["items"], lambda x: ~F.exists(n, lambda c: F.exists(c["items"], lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & beats(y, x)))))
+
+        return F.flatten(F.transform(blocks(s), alone))
+
+    return let(F.array_sort(others), lambda o: F.when(F.size(o) == 0, spans).otherwise(let(blocks(o), lambda c: let(F.array_sort(spans), lambda s: left(c, s)))))
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -105,15 +167,10 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<start, end, match, generator, before, next>> of all that the generators propose."""
-    def proposed(name: str):
-        return lambda s: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), F.lit(name).alias("generator"),
-            F.lower(F.substr(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))).alias("before"),
-            F.substr(text, s["end"] + 1, F.lit(1)).alias("next"))
-
+    """array<struct<start, end, match, before, next, generator>> of all that the generators propose."""
     gates = {"mail_spoken": " dot ", "mail_marked": "at"}
-    return F.concat(*(F.transform(located(text, pattern, gates.get(name)), proposed(name)) for name, pattern in GENERATORS.items()))
+    named = lambda name: lambda s: F.struct(*(s[c].alias(c) for c in ("start", "end", "match", "before", "next")), F.lit(name).alias("generator"))
+    return F.concat(*(F.transform(located(text, pattern, gates.get(name)), named(name)) for name, pattern in GENERATORS.items()))
 
 
 def features(c: Column) -> dict[str, Column]:
@@ -127,6 +184,7 @@ def features(c: Column) -> dict[str, Column]:
         "shape_card": is_(F.regexp_like(m, F.lit("^[0-9]{4}([ -]?)[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}$"))),
         "shape_date": is_(F.regexp_like(m, F.lit(r"^((19|20)[0-9]{2}[-/. ][0-9]{1,2}[-/. ][0-9]{1,2}|[0-9]{1,2}[-/. ][0-9]{1,2}[-/. ](19|20)[0-9]{2})\b"))),
         "distinct": F.size(F.array_distinct(F.split(m, ""))), "hex": is_(F.regexp_like(m, F.lit("^[0-9a-f]+$"))),
+        "capitals": F.length(F.regexp_replace(m, "[^A-Z]", "")), "changes": F.length(F.regexp_replace(m, "[0-9]+|[a-z]+|[A-Z]+", "x")),
         "beside": is_(F.regexp_like(F.concat(F.substr(c["before"], F.length(c["before"]), F.lit(1)), c["next"]), F.lit("[0-9A-Za-z_/]"))),
         "zeros": is_(F.startswith(m, F.lit("0"))),
     }
@@ -155,6 +213,7 @@ def synthetic(n: int = TRAINING, seed: int = SEED) -> list[tuple[str, int, int,
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda: "".join(r.choice(["an", "ber", "tion", "re", "lo", "mi", "che", "ou", "st", "ka"]) for _ in range(r.randint(1, 4)))
     words = lambda k: " ".join(word() for _ in range(k))
+    long_word = lambda k: "".join(word() for _ in range(k))[:k]
     token = lambda k: "".join(r.choice(r.choice(["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789"])) for _ in range(k))
 
     def card() -> str:
@@ -174,6 +233,7 @@ def synthetic(n: int = TRAINING, seed: int = SEED) -> list[tuple[str, int, int,
         lambda: (lead("card", 1), digits(16)),
         lambda: (lead("id", 0.7), f"{digits(3)}-{digits(2)}-{digits(4)}"),
         lambda: (lead("secret", 1) + r.choice(['"', "'", ""]), token(r.choice([24, 32, 40, 256]))),
+        lambda: (lead("secret", 0.3), r.choice(["AK", "AKIA", "SK"]) + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(r.choice([16, 20, 28])))),
         lambda: (lead("secret", 1), "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(r.choice([24, 40, 88]) - 2)) + "=="),
     ]
     no = [
@@ -185,7 +245,10 @@ def synthetic(n: int = TRAINING, seed: int = SEED) -> list[tuple[str, int, int,
         lambda: (lead("other", 0.8), f"978-{digits(1)}{digits(1)}-{digits(5)}-{digits(3)}"),
         lambda: (lead("other", 0.8), token(40)),
         lambda: ("", "".join(word() for _ in range(8)) + "tionstber"),
-        lambda: ("", "_".join(word() for _ in range(6)) + "_maximum_value"),
+        lambda: (lead("other", 0.2), long_word(r.randint(20, 60)) + r.choice(["", "s", "en"])),
+        lambda: (lead("secret", 0.1), long_word(r.randint(20, 40)).capitalize()),
+        lambda: ("", "_".join(word() for _ in range(6)) + r.choice(["_maximum_value", "_2"])),
+        lambda: ("", "".join(word().capitalize() for _ in range(r.randint(5, 9))) + r.choice(["", "V2"])),
         lambda: ("", "/".join(word() for _ in range(8)) + "/index"),
         lambda: (r.choice(["/", "v", "#"]), f"{digits(2)}.{digits(2)}.{digits(3)}.{digits(2)}.{digits(2)}"),
     ]
@@ -239,12 +302,14 @@ def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list]:
 
 
 def raw_score(model: PiiModel, x: dict[str, Column]) -> Column:
-    v = [x[k] for k in FEATURES]
-    side = lambda s: F.when(v[s[0]] < s[1], s[2]).otherwise(s[3])
-    total = F.lit(model.constant)
-    for a, cut, low, high in model.trees:
-        total = total + F.when(v[a] < cut, side(low)).otherwise(side(high))
-    return total
+    """The trees' score; the features are computed once, not wherever a tree asks for one."""
+    names = sorted({FEATURES[f] for a, _, low, high in model.trees for f in (a, low[0], high[0])})
+
+    def total(v: Column) -> Column:
+        side = lambda s: F.when(v[FEATURES[s[0]]] < s[1], s[2]).otherwise(s[3])
+        return sum((F.when(v[FEATURES[a]] < cut, side(low)).otherwise(side(high)) for a, cut, low, high in model.trees), F.lit(model.constant))
+
+    return let(F.struct(*(x[k].alias(k) for k in names)), total) if names else F.lit(model.constant)
 
 
 def fit_pii(spark: SparkSession, n: int = TRAINING, seed: int = SEED) -> PiiModel:
@@ -273,22 +338,25 @@ def fit_pii(spark: SparkSession, n: int = TRAINING, seed: int = SEED) -> PiiMode
 
 
 def added_spans(text: Column, base: Column, model: PiiModel) -> Column:
-    cands = F.filter(candidates(text), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    scored = F.transform(cands, lambda c: F.struct(kind_of(c).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), raw_score(model, features(c)).alias("score")))
+    """array<struct<start, end, kind, score, generator>> of the proposed spans that pass their thresholds and touch no base span."""
+    scored = lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), kind_of(c).alias("kind"), raw_score(model, features(c)).alias("score"), c["generator"].alias("generator"))
     cut = F.create_map(*(x for k, v in model.thresholds.items() for x in (F.lit(k), F.lit(min(v, 1e300)))))
-    return F.filter(scored, lambda s: s["score"] >= F.element_at(cut, s["kind"]))
+    return F.filter(F.transform(untouched(candidates(text), base, lambda b, c: F.lit(True)), scored), lambda s: s["score"] >= F.element_at(cut, s["kind"]))
 
 
-def with_spans(docs: DataFrame, model: PiiModel) -> DataFrame:
-    """`docs` with _text (null: empty), _base (one array for each base kind) and _spans (all, by kind and start)."""
-    df = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-    df = df.withColumn("_base", F.struct(*(base_spans(F.col("_text"), k).alias(k) for k in BASE_KINDS)))
-    df = df.withColumn("_flat", F.concat(*(F.col(f"_base.{k}") for k in BASE_KINDS)))
-    df = df.withColumn("_added", added_spans(F.col("_text"), F.col("_flat"), model))
-    better = lambda o, s: (o["start"] < s["end"]) & (s["start"] < o["end"]) & (F.struct(o["score"], o["end"] - o["start"], -o["start"], -o["kind"]) > F.struct(s["score"], s["end"] - s["start"], -s["start"], -s["kind"]))
-    alone = F.filter("_added", lambda s: ~F.exists("_added", lambda o: better(o, s)))
-    spans = F.concat("_flat", F.transform(alone, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
-    return df.withColumn("_spans", F.array_sort(F.array_distinct(spans))).drop("_flat", "_added")
+def with_spans(docs: DataFrame, model: PiiModel, text: str, base: str, spans: str) -> DataFrame:
+    """`docs` with columns of these names: the text (null: empty), the base spans (a struct with one array for each kind) and
+    all spans as array<struct<start, end, kind>> by start."""
+    flat, added = spare([*docs.columns, text, base, spans], "_flat", "_added")
+    df = docs.withColumn(text, F.coalesce(F.col("text"), F.lit("")))
+    df = df.withColumn(base, F.struct(*(base_spans(F.col(text), k).alias(k) for k in BASE_KINDS)))
+    by_start = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+    df = df.withColumn(flat, F.transform(F.concat(*(F.col(f"{base}.{k}") for k in BASE_KINDS)), by_start))
+    df = df.withColumn(added, added_spans(F.col(text), F.col(flat), model))
+    rank = lambda s: F.struct(s["score"], s["end"] - s["start"], -s["start"], -s["kind"], s["generator"])
+    better = lambda o, s: rank(o) > rank(s)
+    alone = F.transform(untouched(F.col(added), F.col(added), better), by_start)
+    return df.withColumn(spans, F.array_sort(F.concat(flat, alone))).drop(flat, added)
 
 
 def joined(spans: Column) -> Column:
@@ -298,20 +366,35 @@ def joined(spans: Column) -> Column:
 
 def find_pii(docs: DataFrame, model: PiiModel) -> DataFrame:
     """doc_id, the number of base spans of each kind, the SHA-256 of the base spans and all spans."""
-    df = with_spans(docs.select("doc_id", "text"), model)
+    df = with_spans(docs.select("doc_id", "text"), model, "_text", "_base", "_spans")
     base = joined(F.concat(*(F.col(f"_base.{k}") for k in BASE_KINDS)))
-    return df.select("doc_id", *(F.size(f"_base.{k}").cast("long").alias(f"n_{k}") for k in BASE_KINDS), F.sha2(base, 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans"))
+    by_kind = F.array_sort(F.transform("_spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+    return df.select("doc_id", *(F.size(f"_base.{k}").cast("long").alias(f"n_{k}") for k in BASE_KINDS), F.sha2(base, 256).alias("base_sha256"), joined(by_kind).alias("spans"))
 
 
-def redact(docs: DataFrame, model: PiiModel) -> DataFrame:
-    """`docs` with each span of its text replaced by its kind in capitals and brackets; a null text stays null."""
-    df = with_spans(docs, model)
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with each span, or run of overlapping spans, replaced by the kind of its first in capitals and brackets."""
     mark = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    ordered = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def put(acc: Column, s: Column) -> Column:
-        fresh = F.struct(F.concat(acc["out"], F.substr(F.col("_text"), acc["at"] + 1, s["start"] - acc["at"]), F.get(mark, s["kind"])).alias("out"), s["end"].alias("at"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
+    def block(part: Column) -> Column:
+        # One cut of the text for a block of spans, so that positions within it are near its start.
+        lo = F.get(part, F.lit(0))["before"]
+        hi = F.aggregate(part, lo, lambda a, x: F.greatest(a, x["item"]["end"]))
+
+        def put(cut: Column) -> Column:
+            piece = lambda x: F.when(x["item"]["start"] >= x["before"], F.concat(F.substr(cut, x["before"] - lo + 1, x["item"]["start"] - x["before"]), F.get(mark, x["item"]["kind"]))).otherwise("")
+            return F.array_join(F.transform(part, piece), "")
+
+        return let(F.substr(text, lo + 1, hi - lo), put)
+
+    end = F.aggregate(spans, F.lit(0), lambda a, x: F.greatest(a, x["end"]))
+    done = let(running(spans, "struct<start:int,end:int,kind:int>", lambda i: i["end"], lambda a, b: F.greatest(a, b)), lambda x: F.array_join(F.transform(in_blocks(x), block), ""))
+    return F.concat(done, F.substr(text, end + 1, F.length(text)))
 
-    done = F.aggregate(ordered, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), put, lambda a: F.concat(a["out"], F.substr(F.col("_text"), a["at"] + 1, F.length("_text"))))
-    return df.withColumn("text", F.when(F.col("text").isNull(), None).when(F.size("_spans") == 0, F.col("text")).otherwise(done)).select(*docs.columns)
+
+def redact(docs: DataFrame, model: PiiModel) -> DataFrame:
+    """`docs` with each span of its text replaced by its kind in capitals and brackets; a null text stays null."""
+    text, base, spans = spare(docs.columns, "_text", "_base", "_spans")
+    df = with_spans(docs, model, text, base, spans)
+    new = F.when(F.col("text").isNull(), None).when(F.size(spans) == 0, F.col("text")).otherwise(redacted(F.col(text), F.col(spans)))
+    return df.withColumn("text", new).select(*(F.col(f"`{c}`") for c in docs.columns))
