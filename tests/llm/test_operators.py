@@ -513,8 +513,68 @@ def test_lm_scores_against_brute_force(spark, monkeypatch):
     few = [r for r in rows if r[0] not in (7, 8)]
     a = {r["doc_id"]: r["score"] for r in lm_score.lm_scores(docs(spark, few)).collect()}
     assert len(a) == len({i for i, _ in few}) and lm_score.lm_scores(docs(spark, [])).count() == 0
-    words, lam = lm_score.learn_weights([], 10), lm_score.learn_weights([(3, -10, -60, 500), (0, -(10**6), -40, 100)], 1000)
-    assert np.allclose(words.sum(1), 1) and np.allclose(lam.sum(1), 1) and lam[3, 0] > 0.9 and lam[0, 0] == 0
+    cell = lambda bucket, n, p3, p2, p1: (bucket, int(p3 > 0), int(p2 > 0), int(p1 > 0), n, *(n * math.log(max(p, 1e-300)) for p in (p3, p2, p1)))
+    words, lam = lm_score.learn_weights([], 10), lm_score.learn_weights([cell(lm_score.LEVELS + 3, 500, 0.5, 0.05, 1e-4), cell(3, 500, 0, 0.5, 1e-3), cell(0, 100, 0, 0, 1e-3)], 1000)
+    assert np.allclose(words.sum(1), 1) and np.allclose(lam.sum(1), 1) and lam[lm_score.LEVELS + 3, 0] > 0.8 and lam[3, 1] > 0.9
+    assert (lam[: lm_score.LEVELS, 0] == 0).all() and lam[0, 1] == 0 and np.allclose(lam[9], lam[3]) and np.allclose(lam[lm_score.LEVELS + 9], lam[lm_score.LEVELS + 3])
+
+
+def test_lm_score_is_the_interpolation_by_definition(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [*ODD] + [(100 + k, " ".join(rng.choice(["a", "b", "The", "cat", "sat", "on"]) for _ in range(rng.randint(0, 30)))) for k in range(120)]
+    low = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    tokens = [(i, ["S", "S", *re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)), "E"]) for i, t in rows]
+    part = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 7
+
+    def model(texts):
+        c1, c2, c3 = Counter(), Counter(), Counter()
+        for w in texts:
+            c1.update(w[2:])
+            c2.update(zip(w[1:], w[2:]))
+            c3.update(zip(w, w[1:], w[2:]))
+        before, two = Counter(), Counter()
+        for (a, _), n in c2.items():
+            before[a] += n
+        for (a, b, _), n in c3.items():
+            two[a, b] += n
+        n, v = sum(c1.values()), len(c1)
+        level = lambda x: 0 if not x else min(lm_score.LEVELS - 1, int(math.log2(x)) + 1)
+
+        def at(a, b, c):
+            p = (c3[a, b, c] / two[a, b] if two[a, b] else 0, c2[b, c] / before[b] if before[b] else 0, c1[c] / max(1, n), 1 / (v + 1))
+            bucket = lm_score.LEVELS + level(two[a, b]) if two[a, b] else level(before[b])
+            return bucket, (level(c3[a, b, c]), level(c2[b, c]), level(c1[c])), p
+
+        return at, v
+
+    learned = {}
+    monkeypatch.setattr(lm_score, "learn_weights", lambda hist, v, f=lm_score.learn_weights: learned.setdefault("lam", (f(hist, v), hist, v))[0])
+    monkeypatch.setattr(lm_score, "CHUNK_CHARS", 700)
+    monkeypatch.setattr(lm_score, "BUCKET_CHARS", 900)
+    got = defaultdict(list)
+    for r in lm_score.lm_scores(docs(spark, [r for r in rows if r[0] not in (7, 8)])).collect():
+        got[r["doc_id"]].append(r["score"])
+    tokens = [x for x in tokens if x[0] not in (7, 8)]
+    lam, hist, v = learned["lam"]
+    some, v_some = model([w for i, w in tokens if part(i) not in (2, 3)])
+    cells = defaultdict(lambda: [0, 0.0, 0.0, 0.0])
+    for i, w in tokens:
+        if part(i) == 3:
+            for a, b, c in zip(w, w[1:], w[2:]):
+                bucket, levels, p = some(a, b, c)
+                cell = cells[bucket, *levels]
+                cell[0] += 1
+                for k in range(3):
+                    cell[k + 1] += math.log(max(p[k], 1e-300))
+    assert v == v_some and {tuple(h[:4]): h[4] for h in hist} == {k: x[0] for k, x in cells.items()}
+    assert all(abs(h[5 + k] - cells[tuple(h[:4])][k + 1]) < 1e-6 * max(1, abs(h[5 + k])) for h in hist for k in range(3))
+    every, _ = model([w for i, w in tokens if part(i) != 2])
+    for i, w in tokens:
+        want = 0.0
+        for a, b, c in zip(w, w[1:], w[2:]):
+            bucket, _, p = every(a, b, c)
+            want += math.log10(sum(x * y for x, y in zip(lam[bucket], p)))
+        assert all(abs(x - want) < 1e-6 * max(1, abs(want)) for x in got[i])
 
 
 def test_lm_probabilities_and_held_out_gain(spark):

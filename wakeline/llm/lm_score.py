@@ -1,18 +1,20 @@
-"""Language-model scores by deleted interpolation of word bigrams.
-
-The probability of a word after another is a mixture of the bigram and unigram maximum-likelihood estimates and a uniform
-share. The mixture weights depend on how often the context was seen (a bucket for each power of two) and are learned by
-expectation-maximisation on held-out counts: a part of the learning documents is left out of the counts for that step.
-Scores then use the counts of all learning documents.
-
-Everything is counted over all documents, without a vocabulary limit. Documents are dealt to chunks by a hash; a chunk
-sends each of its different keys (64-bit hashes of words and word pairs) once, with its counts, as packed arrays to the
-bucket of the key. A bucket adds the counts up and answers each chunk with the totals of the keys it asked for, so that
-no table of n-grams is collected or broadcast, and a frequent word is a single entry of each chunk. Chunks and buckets
-grow in number with the corpus, not in size. The held-out statistics that reach the driver are a histogram over
-quantised probabilities, whose size does not depend on the corpus.
-
-Tokens are the words (runs of characters other than space and \\t \\n \\v \\f \\r, A-Z in lower case) and an end token.
+"""Language-model scores by deleted interpolation of word trigrams.
+
+The probability of a word after two others is a mixture of the trigram, bigram and unigram maximum-likelihood estimates
+and a uniform share. The mixture weights depend on how often the context was seen: a bucket for each power of two of the
+count of the two words before, or, where these were never seen together, of the count of the word before. They are
+learned by expectation-maximisation on held-out counts: a part of the learning documents is left out of the counts for
+that step. Scores then use the counts of all learning documents.
+
+Everything is counted over all documents, without a vocabulary limit. Documents are dealt to chunks by a hash and packed,
+compressed, one row a chunk. A chunk sends each of its different keys (hashes of words, pairs and triples) once, with its
+counts, as packed arrays to the bucket of the key. A bucket adds the counts up and answers each chunk with the totals of
+the keys it asked for, so that no table of n-grams is collected or broadcast, and a frequent word is a single entry of
+each chunk. Chunks and buckets grow in number with the corpus, not in size, and each is a partition of its own. A key has
+as many bits as let two n-grams of the corpus share one with a chance of at most 2**-MARGIN (64 at most). The held-out
+statistics that reach the driver are a histogram over levels of counts, whose size does not depend on the corpus.
+
+Tokens are the words (runs of characters other than space and \t \n \v \f \r, A-Z in lower case) and an end token.
 Edge cases: a null or empty text has the end token alone; a null doc_id is learned from and scored; repeated rows count
 each and are scored alike; other columns are ignored; an empty table gives no rows; where nothing is learned, every token
 gets the uniform share.
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import gc
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,10 @@ from pyspark.sql import functions as F
 from wakeline.llm.common import WordHash, materialise, mix
 
 PARTS, LEFT_OUT, HELD = 7, 2, 3  # of crc32(doc_id) modulo PARTS: never learned from; used for the weights first
-CHUNK_CHARS, BUCKET_CHARS, BUCKETS, STEP, ROUNDS = 12_000_000, 24_000_000, 24, 0.05, 60
+CHUNK_CHARS, BUCKET_CHARS, LEVELS, ROUNDS, MARGIN = 12_000_000, 24_000_000, 40, 60, 20
 _END, _START = (xxhash.xxh3_64_intdigest(x) for x in (b"\n", b"\n\n"))  # no word contains white space
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
+ORDERS = 3
 
 
 def held_out(doc_id: Column) -> Column:
@@ -46,22 +50,37 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def flat_tokens(texts: list[str | None], hashes: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token hashes, hashes of the tokens before, first token of each text) of all texts, one after the other."""
-    parts = [np.append(hashes.array(tokens(t)), np.uint64(_END)) for t in texts]
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    first = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64) if parts else np.zeros(0, np.int64)
-    before = np.empty_like(flat)
-    before[1:] = flat[:-1]
-    before[first] = np.uint64(_START)
-    return flat, before, first
+def key_bits(chars: int) -> int:
+    return min(64, max(40, math.ceil(math.log2(chars + 1)) + MARGIN))
+
+
+def flat_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(token hashes of all texts one after the other, first token of each text)."""
+    hashes = WordHash()
+    parts = [np.append(hashes.array(t.lower().split()), np.uint64(_END)) for t in texts]
+    flat = np.concatenate([np.zeros(0, np.uint64), *parts])
+    return flat, np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
+
+
+def contexts(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the token before each token and of the two before it; start tokens stand before a text."""
+    start = np.uint64(_START)
+    one = np.empty_like(flat)
+    one[1:], one[first] = flat[:-1], start
+    two = np.empty_like(flat)
+    two[1:], two[first] = one[:-1], start
+    return one, mix(two * _PAIR + one)
+
 
+def keyed(flat: np.ndarray, first: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For words, pairs and triples: the sorted different keys, and the position of each token's key.
 
-def keyed(flat: np.ndarray, before: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Sorted different keys and the position of each token's key, for words (with the start token) and for pairs."""
-    words, at = np.unique(np.append(flat, np.uint64(_START)), return_inverse=True)
-    pairs, where = np.unique(mix(before * _PAIR + flat), return_inverse=True)
-    return (words, at), (pairs, where)
+    The last position of words and of pairs is that of the context at the beginning of a text.
+    """
+    one, two = contexts(flat, first)
+    start = np.array([_START], np.uint64)
+    own = (np.append(flat, start), np.append(mix(one * _PAIR + flat), mix(start * _PAIR + start)), mix(two * _PAIR + flat))
+    return [np.unique(k >> np.uint64(64 - bits), return_inverse=True) for k in own]
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -76,115 +95,161 @@ def unpack(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
-def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where the buckets of sorted keys begin: equal ranges of the 64 bits."""
-    edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+def cuts(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """Where the buckets of sorted keys begin: equal ranges of the keys."""
+    edges = np.array([(i << bits) // buckets for i in range(1, buckets)], np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def _ask(buckets: int):
-    def run(table: pa.Table) -> pa.Table:
-        chunk, role = table.column("chunk")[0].as_py(), table.column("role").to_numpy()
-        flat, before, first = flat_tokens(table.column("text").to_pylist(), WordHash())
-        of = np.repeat(role, np.diff(np.append(first, len(flat))))
-        out = []
-        for kind, (keys, at) in enumerate(keyed(flat, before)):
+PACKED = "chunk long, ids binary, named binary, roles binary, sizes binary, texts binary"
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    texts = [(t or "").encode("utf-8", "replace") for t in table.column("text").to_pylist()]
+    ids = table.column("doc_id")
+    row = (table.column("chunk")[0].as_py(), pack(ids.fill_null(0).to_numpy()), pack(ids.is_valid().to_numpy().astype(np.uint8)), pack(table.column("role").to_numpy().astype(np.uint8)), pack(np.array([len(t) for t in texts], np.int64)), zstd.compress(b"".join(texts), 3))
+    return pa.Table.from_arrays([pa.array([v], pa.binary() if i else pa.int64()) for i, v in enumerate(row)], names=["chunk", "ids", "named", "roles", "sizes", "texts"])
+
+
+def texts_of(row: dict) -> list[bytes]:
+    whole, end = zstd.decompress(row["texts"], max_output_size=1 << 40) if row["texts"] else b"", np.cumsum(unpack(row["sizes"], np.int64))
+    return [whole[a:b] for a, b in zip([0, *end.tolist()], end.tolist())]
+
+
+def _ask(buckets: int, bits: int):
+    def asked(row: dict) -> list[tuple]:
+        flat, first = flat_tokens(texts_of(row))
+        role = unpack(row["roles"], np.uint8)
+        of, out = np.repeat(role, np.diff(np.append(first, len(flat)))), []
+        for kind, (keys, at) in enumerate(keyed(flat, first, bits)):
             counts = []
             for r in (0, 1):
                 n = np.bincount(at[: len(flat)][of == r], minlength=len(keys))
-                if kind == 0:  # the start token counts as a context, once a text
+                if kind < ORDERS - 1:  # the context at the beginning counts once a text
                     n[at[-1]] = int((role == r).sum())
                 counts.append(n.astype(np.uint32))
-            edge = cuts(keys, buckets)
+            edge = cuts(keys, buckets, bits)
             for b, (lo, hi) in enumerate(zip(edge, edge[1:])):
                 if hi > lo:
-                    out.append((b * 2 + kind, chunk, pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), pack(counts[0][lo:hi]), pack(counts[1][lo:hi])))
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "keys", "some", "held"])
-
-    return run
+                    out.append((b * ORDERS + kind, row["chunk"], pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), pack(counts[0][lo:hi]), pack(counts[1][lo:hi])))
+        return out
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                out = asked({c: batch.column(c)[i].as_py() for c in batch.schema.names})
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "keys", "some", "held"])
 
-def _answer(table: pa.Table) -> pa.Table:
-    bucket, chunks = table.column("bucket")[0].as_py(), table.column("chunk").to_pylist()
-    keys = [np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
-    all_keys, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = [np.bincount(at, np.concatenate([unpack(x, np.uint32) for x in table.column(c).to_pylist()]), len(all_keys)) for c in ("some", "held")]
-    some, every = total[0], total[0] + total[1]
-    edge = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-    out = [(bucket, c, pack(some[at[a:b]].astype(np.uint32)), pack(every[at[a:b]].astype(np.uint32)), 0, 0, 0, 0) for c, a, b in zip(chunks, edge, edge[1:])]
-    if bucket % 2 == 0:
-        word = all_keys != np.uint64(_START)
-        out.append((bucket, -1, b"", b"", *(int(f(x[word])) for x in (some, every) for f in (np.sum, np.count_nonzero))))
-    return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4))], names=ANSWER)
+    return run
 
 
 ANSWER = ["bucket", "chunk", "some", "every", "n_some", "v_some", "n_every", "v_every"]
 ANSWER_SCHEMA = "bucket long, chunk long, some binary, every binary, n_some long, v_some long, n_every long, v_every long"
 
 
-def counts_for(answers: pa.Table, which: str) -> tuple[np.ndarray, np.ndarray]:
-    """The totals for a chunk's words and pairs, in the order of its sorted keys."""
+def _answer(held_from: int, bits: int):
+    """Totals for the chunks that asked: of all counts, and of those without the held part for the chunks of that part."""
+    start = np.uint64(_START >> (64 - bits))
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, chunks = table.column("bucket")[0].as_py(), table.column("chunk").to_pylist()
+        keys = [np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
+        all_keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = [np.bincount(at, np.concatenate([unpack(x, np.uint32) for x in table.column(c).to_pylist()]), len(all_keys)) for c in ("some", "held")]
+        some, every = total[0], total[0] + total[1]
+        edge = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+        out = [(bucket, c, pack(some[at[a:b]].astype(np.uint32)) if c >= held_from else b"", pack(every[at[a:b]].astype(np.uint32)), 0, 0, 0, 0) for c, a, b in zip(chunks, edge, edge[1:])]
+        if bucket % ORDERS == 0:
+            word = all_keys != start
+            out.append((bucket, -1, b"", b"", *(int(f(x[word])) for x in (some, every) for f in (np.sum, np.count_nonzero))))
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4))], names=ANSWER)
+
+    return run
+
+
+def counted(row: dict, answers: pa.Table, which: str, bits: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """For each token of a chunk the counts of the word, of the word before, of the pair, of the two before and of the triple;
+    and the first token of each text."""
+    flat, first = flat_tokens(texts_of(row))
     rows = sorted(zip(answers.column("bucket").to_pylist(), answers.column(which).to_pylist()), key=lambda r: r[0])
-    return tuple(np.concatenate([np.zeros(0, np.uint32), *(unpack(x, np.uint32) for b, x in rows if b % 2 == kind)]).astype(np.float64) for kind in (0, 1))
+    total = [np.concatenate([np.zeros(0, np.uint32), *(unpack(x, np.uint32) for b, x in rows if b % ORDERS == kind)]).astype(np.float64) for kind in range(ORDERS)]
+    (_, word), (_, pair), (_, triple) = keyed(flat, first, bits)
+    before, last = np.empty(len(flat), np.int64), len(flat)
+    before[1:], before[first] = word[: last - 1], word[last]
+    behind = np.empty(len(flat), np.int64)
+    behind[1:], behind[first] = pair[: last - 1], pair[last]
+    return {"word": total[0][word[:last]], "before": total[0][before], "pair": total[1][pair[:last]], "two": total[1][behind], "triple": total[2][triple]}, first
 
 
 def level(n: np.ndarray) -> np.ndarray:
-    """The bucket of a context frequency: 0 for none, then one for each power of two."""
-    return np.minimum(np.where(n > 0, np.floor(np.log2(np.maximum(n, 1))) + 1, 0), BUCKETS - 1).astype(np.int64)
+    """The bucket of a count: 0 for none, then one for each power of two."""
+    return np.minimum(np.where(n > 0, np.floor(np.log2(np.maximum(n, 1))) + 1, 0), LEVELS - 1).astype(np.int64)
 
 
-def estimates(docs: pa.Table, answers: pa.Table, which: str) -> tuple:
-    """For each token: context level, bigram estimate, word count; and the first token of each text."""
-    flat, before, first = flat_tokens(docs.column("text").to_pylist(), WordHash())
-    (words, at), (_, where) = keyed(flat, before)
-    of_word, of_pair = counts_for(answers, which)
-    context = of_word[np.searchsorted(words, before)] if len(flat) else np.zeros(0)
-    return level(context), np.divide(of_pair[where], context, out=np.zeros(len(flat)), where=context > 0), of_word[at[: len(flat)]], first
+def bucket_of(c: dict[str, np.ndarray]) -> np.ndarray:
+    """The weight bucket of a token: by the two words before if they were seen, else by the word before."""
+    return np.where(c["two"] > 0, LEVELS + level(c["two"]), level(c["before"]))
 
 
-def _histogram(n: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.Table.from_arrays([pa.array([], pa.int64())] * 4, names=["level", "two", "one", "n"])
-        lev, p2, c1, _ = estimates(docs, answers, "some")
-        q = lambda p: np.where(p > 0, np.rint(np.log10(np.maximum(p, 1e-300)) / STEP), -(10**6)).astype(np.int64)
-        rows, count = np.unique(np.column_stack([lev, q(p2), q(c1 / max(1, n))]), axis=0, return_counts=True)
-        return pa.Table.from_arrays([*(pa.array(rows[:, i]) for i in range(3)), pa.array(count.astype(np.int64))], names=["level", "two", "one", "n"])
+def estimates(c: dict[str, np.ndarray], n: int, v: int) -> np.ndarray:
+    """Trigram, bigram and unigram maximum-likelihood estimates and the uniform share of each token."""
+    ratio = lambda a, b: np.divide(a, b, out=np.zeros(len(a)), where=b > 0)
+    return np.column_stack([ratio(c["triple"], c["two"]), ratio(c["pair"], c["before"]), c["word"] / max(1, n), np.full(len(c["word"]), 1 / (v + 1))])
+
+
+CELL = ["bucket", "l3", "l2", "l1", "tokens", "log3", "log2", "log1"]
+
+
+def _histogram(n: int, v: int, bits: int):
+    """Held-out tokens by weight bucket and levels of their counts, with the sums of the logarithms of their estimates."""
+
+    def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = []
+        for row in packed.to_pylist():
+            c, _ = counted(row, answers, "some", bits)
+            cell, at = np.unique(np.column_stack([bucket_of(c), level(c["triple"]), level(c["pair"]), level(c["word"])]), axis=0, return_inverse=True)
+            logs = np.log(np.maximum(estimates(c, n, v)[:, :3], 1e-300))
+            rows.append((cell, np.bincount(at.ravel()), *(np.bincount(at.ravel(), logs[:, i]) for i in range(3))))
+        cols = [np.concatenate([r[0][:, i] for r in rows] or [np.zeros(0, np.int64)]) for i in range(4)] + [np.concatenate([r[i] for r in rows] or [np.zeros(0)]) for i in range(1, 5)]
+        return pa.Table.from_arrays([pa.array(c.astype(np.int64 if i < 5 else np.float64)) for i, c in enumerate(cols)], names=CELL)
 
     return run
 
 
-def learn_weights(hist: list[tuple[int, int, int, int]], v: int) -> np.ndarray:
-    """Weights of the bigram, unigram and uniform estimates for each context level, by EM from equal shares."""
-    lam = np.tile([0.4, 0.4, 0.2], (BUCKETS, 1))
-    lam[0] = [0, 0.7, 0.3]
+def learn_weights(hist: list[tuple], v: int) -> np.ndarray:
+    """Weights of the trigram, bigram, unigram and uniform estimates for each bucket, by EM from equal shares."""
+    lam = np.tile([0.3, 0.3, 0.3, 0.1], (2 * LEVELS, 1))
+    lam[:LEVELS, 0] = 0  # the two words before were not seen together
+    lam[0, 1] = 0  # nor was the word before
+    lam /= lam.sum(1, keepdims=True)
+    seen = np.zeros(2 * LEVELS, bool)
     if hist:
         h = np.array(hist, np.float64)
-        lev = h[:, 0].astype(int)
-        p = np.column_stack([*(np.where(h[:, i] > -(10**5), 10.0 ** (h[:, i] * STEP), 0.0) for i in (1, 2)), np.full(len(h), 1 / (v + 1))])
+        bucket, tokens_ = h[:, 0].astype(int), h[:, 4]
+        p = np.column_stack([*(np.where(h[:, i] > 0, np.exp(h[:, 4 + i] / tokens_), 0.0) for i in (1, 2, 3)), np.full(len(h), 1 / (v + 1))])
+        seen = np.bincount(bucket, tokens_, 2 * LEVELS) > 0
         for _ in range(ROUNDS):
-            post = lam[lev] * p
-            post *= (h[:, 3] / np.maximum(post.sum(1), 1e-300))[:, None]
-            mass = np.column_stack([np.bincount(lev, post[:, i], BUCKETS) for i in range(3)])
-            seen = mass.sum(1) > 0
-            lam[seen] = (mass[seen] + 1e-3) / (mass[seen] + 1e-3).sum(1, keepdims=True)
-        for b in range(1, BUCKETS):  # a level without held-out tokens behaves like the one below
-            lam[b] = lam[b] if seen[b] else lam[b - 1] if b > 1 else lam[b]
-    lam[0, 0] = 0
-    return lam / lam.sum(1, keepdims=True)
-
-
-def _score(lam: np.ndarray, n: int, v: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=SCORED)
-        lev, p2, c1, first = estimates(docs, answers, "every")
-        w = lam[lev]
-        p = w[:, 0] * p2 + w[:, 1] * (c1 / max(1, n)) + w[:, 2] / (v + 1)
-        add = lambda x: np.add.reduceat(x, first)
-        size = np.diff(np.append(first, len(c1)))
-        cols = [add((c1 > 0).astype(np.int64)), np.full(len(first), n, np.int64), add(np.log10((c1 + 1) / (n + v + 1))), add(np.log10(p))]
-        return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(), pa.array(size), *map(pa.array, cols)], names=SCORED)
+            post = lam[bucket] * p
+            post *= (tokens_ / np.maximum(post.sum(1), 1e-300))[:, None]
+            mass = np.column_stack([np.bincount(bucket, post[:, i], 2 * LEVELS) for i in range(4)]) + 1e-3 * (lam > 0)
+            lam[seen] = mass[seen] / mass[seen].sum(1, keepdims=True)
+    for b in (*range(2, LEVELS), *range(LEVELS + 2, 2 * LEVELS)):  # a bucket without held-out tokens behaves like the one below
+        if not seen[b]:
+            lam[b] = lam[b - 1]
+    return lam
+
+
+def _score(lam: np.ndarray, n: int, v: int, bits: int):
+    def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        parts = []
+        for row in packed.to_pylist():
+            c, first = counted(row, answers, "every", bits)
+            p = (lam[bucket_of(c)] * estimates(c, n, v)).sum(1)
+            add = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731
+            cols = [add((c["word"] > 0).astype(np.int64)), np.full(len(first), n, np.int64), add(np.log10((c["word"] + 1) / (n + v + 1))), add(np.log10(p))]
+            ids = pa.array(unpack(row["ids"], np.int64), mask=unpack(row["named"], np.uint8) == 0)
+            parts.append(pa.Table.from_arrays([ids, pa.array(unpack(row["roles"], np.uint8) == 2), pa.array(np.diff(np.append(first, len(c["word"])))), *map(pa.array, cols)], names=SCORED))
+        return pa.concat_tables(parts) if parts else pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64())], names=SCORED)
 
     return run
 
@@ -202,24 +267,29 @@ def _release(spark: SparkSession) -> None:
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigram, add-one), score (the mixture)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     part = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % PARTS == HELD, F.lit(False))
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    most, buckets = max(4, math.ceil(chars / CHUNK_CHARS)), max(4, math.ceil(chars / BUCKET_CHARS))
+    bits, most, buckets = key_bits(chars), max(4, math.ceil(chars / CHUNK_CHARS)), max(4, math.ceil(chars / BUCKET_CHARS))
     few = max(2, math.ceil(most / PARTS))
-    spread = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")))
-    docs = docs.withColumn("role", F.when(F.col("held_out"), 2).when(part, 1).otherwise(0))  # 0: counted at once, 1: held for the weights, 2: never learned from
+    docs = docs.withColumn("role", F.when(held_out(F.col("doc_id")), 2).when(part, 1).otherwise(0))  # 0: counted at once, 1: held for the weights, 2: never learned from
+    spread = F.xxhash64("doc_id", F.monotonically_increasing_id())  # rows of one doc_id go to many chunks
     docs = docs.withColumn("chunk", F.when(part, F.lit(most) + F.pmod(spread, F.lit(few))).otherwise(F.pmod(spread, F.lit(most))).cast("long"))
+    packed = materialise(docs.repartition(most + few, "chunk").groupBy("chunk").applyInArrow(_pack, PACKED))
+    _release(spark)
 
-    asked = docs.select("chunk", "role", "text").groupBy("chunk").applyInArrow(_ask(buckets), "bucket long, chunk long, keys binary, some binary, held binary")
-    answers = materialise(asked.groupBy("bucket").applyInArrow(_answer, ANSWER_SCHEMA))
+    asked = packed.mapInArrow(_ask(buckets, bits), "bucket long, chunk long, keys binary, some binary, held binary")
+    answers = materialise(asked.repartition(ORDERS * buckets, "bucket").groupBy("bucket").applyInArrow(_answer(most, bits), ANSWER_SCHEMA))
     n_some, v_some, n, v = (x or 0 for x in answers.where("chunk < 0").agg(*(F.sum(c) for c in ANSWER[4:])).first())
     del asked
     _release(spark)
 
-    replies = answers.where("chunk >= 0").select("chunk", "bucket", "some", "every")
-    kept = docs.where(F.col("role") == 1).select("chunk", "text").groupBy("chunk")
-    hist = kept.cogroup(replies.where(F.col("chunk") >= most).select("chunk", "bucket", "some").groupBy("chunk")).applyInArrow(_histogram(n_some), "level long, two long, one long, n long")
-    lam = learn_weights([tuple(r) for r in hist.groupBy("level", "two", "one").agg(F.sum("n").alias("n")).orderBy("level", "two", "one").collect()], v_some)
-    pair = docs.select("chunk", "doc_id", "held_out", "text").groupBy("chunk").cogroup(replies.select("chunk", "bucket", "every").groupBy("chunk"))
-    return pair.applyInArrow(_score(lam, n, v), SCORED_SCHEMA)
+    def together(condition: str, count: str, parts: int):
+        ours = packed.where(condition).repartition(parts, "chunk").groupBy("chunk")
+        return ours.cogroup(answers.where(condition).select("chunk", "bucket", count).repartition(parts, "chunk").groupBy("chunk"))
+
+    cells = together(f"chunk >= {most}", "some", few).applyInArrow(_histogram(n_some, v_some, bits), "bucket long, l3 long, l2 long, l1 long, tokens long, log3 double, log2 double, log1 double")
+    cells = cells.groupBy(*CELL[:4]).agg(*(F.sum(c).alias(c) for c in CELL[4:])).orderBy(*CELL[:4]).collect()
+    lam = learn_weights([tuple(r) for r in cells], v_some)
+    _release(spark)
+    return together("chunk >= 0", "every", most + few).applyInArrow(_score(lam, n, v, bits), SCORED_SCHEMA)
