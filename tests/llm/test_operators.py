@@ -658,3 +658,10 @@ def test_pipeline_edges(spark, tmp_path):
                 assert after.where(" or ".join(f"{c} != '{c}'" for c in own)).count() == 0
             at = after
         assert (at.count() == 0) == (name == "empty")
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB", 4)
+    edges = [(0, k) for k in range(1, 200)] + [(500, k) for k in range(400, 500)] + [(499, 700)] + [(k, k + 1) for k in range(800, 830)]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(200), 0), **dict.fromkeys([*range(400, 501), 700], 400), **dict.fromkeys(range(800, 831), 800)}
