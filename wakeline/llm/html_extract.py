@@ -49,8 +49,12 @@ DROP_WORDS = frozenset(
 )
 #: Words beside a mark that tell the state of a page, as in has-sidebar or nav-open.
 STATE_WORDS = frozenset("has have no not with without is open opened closed on off enabled disabled active visible".split())
+#: A class or id that ends in such a word names a whole page, not a part of it, as in search-result-page.
+PAGE_WORDS = frozenset("page pages layout template theme view site".split())
 #: Marks that inside an article may stand on its own text; there they drop only what is mostly links.
-UNSURE_WORDS = frozenset("response responses respond related share warning rail foot".split())
+UNSURE_WORDS = frozenset("response responses respond related share warning rail foot discussion search social".split())
+#: Classes and ids of containers that count as an article for unsure marks.
+MAIN_NAMES = frozenset("main main-content maincontent content article article-body post post-body post-content entry entry-content story".split())
 HEADER_WORDS = frozenset("header head pageheader siteheader".split())
 DECAY, TOP = 0.9, 5
 
@@ -63,6 +67,7 @@ class Element:
     depth: int
     dropped: bool
     in_article: bool
+    in_main: bool = False  # in an article or a container named like one
     hard: bool = False  # dropped for good
     soft: int = 0  # marked by class, id, role or form: 1; by unsure words inside an article: 2
     plain: int = 0  # characters outside and inside links of its own, then with all below
@@ -76,8 +81,9 @@ class Page:
 
 
 def _words(s: str) -> set[str]:
-    tokens = (set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", t).lower())) for t in s.split())
-    return {w for t in tokens if not t & STATE_WORDS for w in t}
+    """The words of classes and ids, but for those that tell a page's state or kind, or what something is of (notice-of-award)."""
+    tokens = ([w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", t).lower()) if w] for t in s.split())
+    return {w for t in tokens if t and t[-1] not in PAGE_WORDS and "of" not in t and not STATE_WORDS.intersection(t) for w in t}
 
 
 def parse(html: str) -> Page:
@@ -188,19 +194,22 @@ def _parsed(html: str, spared: frozenset[int]) -> Page:
         up = page.elements[stack[-1]]
         attributes = m.group(3) or ""
         name, hard, soft, in_article = tag, tag in DROP_TAGS and tag != "form", int(tag == "form"), up.in_article or tag in ("article", "main")
+        in_main = up.in_main or in_article
         if len(attributes) > 3:
             a = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
-            marks = _words(f"{a.get('class', '')} {a.get('id', '')}")
+            names = f"{a.get('class', '')} {a.get('id', '')}"
+            marks = _words(names)
+            in_main = in_main or a.get("role") == "main" or not MAIN_NAMES.isdisjoint(names.lower().split())
             if tag not in ("html", "body", "article", "main"):
                 hard = hard or "hidden" in a or a.get("aria-hidden") == "true"
                 if a.get("role", "").lower() in DROP_ROLES or (not up.in_article and bool(marks & HEADER_WORDS)) or marks & DROP_WORDS:
-                    unsure = up.in_article and not soft and a.get("role", "").lower() not in DROP_ROLES and not marks & (DROP_WORDS - UNSURE_WORDS)
+                    unsure = up.in_main and not soft and a.get("role", "").lower() not in DROP_ROLES and not marks & (DROP_WORDS - UNSURE_WORDS)
                     soft = 2 if unsure else 1
             if a.get("class"):
-                name += "." + ".".join(sorted({re.sub(r"[0-9]+", "#", c.lower()) for c in a["class"].split()})[:3])
+                name += "." + ".".join(sorted({re.sub(r"[0-9]+", "#", c.lower()) for c in a["class"].split()}))
         hard = hard or (tag == "header" and not up.in_article)
         dropped = up.dropped or hard or (bool(soft) and len(page.elements) not in spared)
-        page.elements.append(Element(tag, f"{up.path}/{name}" if tag in BLOCK or tag in CONTAINERS else up.path, stack[-1], up.depth + 1, dropped, in_article, hard, 0 if hard else soft))
+        page.elements.append(Element(tag, f"{up.path}/{name}" if tag in BLOCK or tag in CONTAINERS else up.path, stack[-1], up.depth + 1, dropped, in_article, in_main, hard, 0 if hard else soft))
         if tag in RAW:
             stop = re.compile(f"</{tag}\\b[^>]*>", re.I).search(html, pos)
             pos = stop.end() if stop else size
