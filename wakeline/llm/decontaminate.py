@@ -40,7 +40,7 @@ from wakeline.llm.common import WordHash, checked_join, materialise, mix, shingl
 SIMILARITY, TARGET_RECALL, MIN_WORDS, ITEM_BLOCK = 0.8, 0.99, 1, 4000
 WALKS, SAMPLED, MOST_REPETITIONS, REACH = 16, 3, 4096, 1.6
 PAD, CLASSES, SIMULATED, TRIED, EDIT_TYPES = np.uint64(1), 4, 64, 64, ((0, 1, 2), (0,), (1,), (2,))  # 0 replaces, 1 inserts, 2 deletes
-BATCH_WORDS, BITMAP, UNKNOWN = 1_000_000, 1 << 22, 2
+BATCH_WORDS, BATCH_STARTS, BITMAP, UNKNOWN = 500_000, 4096, 1 << 22, 2
 _SPACES = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
 
 
@@ -270,15 +270,15 @@ def _by_walk(index: Index, flat: np.ndarray, first: np.ndarray, n: np.ndarray, d
     if not windows:
         return []
     chosen, starts = [], np.unique(np.concatenate(list(windows.values())))
-    for at in range(0, len(starts), 4096):  # bounded memory
-        part = starts[at : at + 4096]
+    for at in range(0, len(starts), BATCH_STARTS):  # bounded memory
+        part = starts[at : at + BATCH_STARTS]
         here = {m: np.searchsorted(part, s[(s >= part[0]) & (s <= part[-1])]) for m, s in windows.items()}
         longest = max((m for m in here if len(here[m])), default=0)
-        walks = [walk(flat, part, end[part], steps_of(longest), seed) for seed in range(WALKS)]
-        for m, rows in here.items():
-            if not len(rows):
-                continue
-            for seed, (word, far) in enumerate(walks):
+        for seed in range(WALKS):  # one at a time
+            word, far = walk(flat, part, end[part], steps_of(longest), seed)
+            for m, rows in here.items():
+                if not len(rows):
+                    continue
                 steps = steps_of(m)
                 own = np.where(far[rows, :steps] < m, word[rows, :steps], PAD).T.copy()
                 for rep in range(seed, index.repetitions[m], WALKS):
@@ -309,8 +309,8 @@ def find(index: Index, docs: list[np.ndarray]) -> list[tuple[int, int, int]]:
     cand, best = cand[one], {}
     for m in np.unique(size[cand[:, 1]]):
         rows, k = cand[size[cand[:, 1]] == m], bound(int(m), index.similarity)
-        for at in range(0, len(rows), 2048):
-            s, item = rows[at : at + 2048].T
+        for at in range(0, len(rows), BATCH_STARTS // 4):
+            s, item = rows[at : at + BATCH_STARTS // 4].T
             where = s[:, None] + np.arange(-2 * k - 1, m + 2 * k + 1)
             inside = (where >= first[doc[s]][:, None]) & (where < end[s][:, None])
             region = np.where(inside, flat[np.clip(where, 0, len(flat) - 1)], np.uint64(0))
