@@ -69,7 +69,7 @@ def checked_join(big: DataFrame, small: DataFrame, on: list[str] | Column | str,
 class WordHash(dict):
     """A cache of 64-bit hashes of words; emptied when it has grown large."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -259,8 +259,12 @@ SCORED_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, tra
 
 
 def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now rather than at its next collection."""
+    """Let Spark delete the shuffle files of finished steps now rather than at its next collection.
+
+    The scheduler holds on to the last job, so a job of nothing comes first.
+    """
     gc.collect()
+    spark.range(1).collect()
     spark.sparkContext._jvm.System.gc()
 
 
