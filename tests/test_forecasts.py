@@ -5,7 +5,9 @@ import zipfile
 from datetime import date, datetime, timedelta, timezone
 
 import numpy as np
+import pandas as pd
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tests.test_positions import T0, points, straight
@@ -145,17 +147,67 @@ def test_ingest_layouts_quotes_ragged_rows(spark, tmp_path):
     (tmp_path / "b.csv").write_text("mmsi,base_date_time,longitude,latitude,sog,cog,heading,vessel_name,imo,call_sign,vessel_type,status,length,width,draft,cargo,transceiver\n316000009,2023-07-01 00:00:00,-83.0,42.0,1,1,1,X,I,C,1,1,1,1,1,1,A\n")
     r = ingest.to_canonical(ingest.read_day_csv(spark, str(tmp_path / "b.csv"))).first()
     assert (r["lat"], r["lon"]) == (42.0, -83.0)
-    with pytest.raises(ValueError):
-        ingest.layout(["x", "y"])
+    with pytest.raises(ValueError, match="cargo"):
+        ingest.header_columns(["x", "y"])
     day, read, kept = ingest.ingest_day(spark, str(tmp_path / "a.csv"), date(2023, 7, 1), str(tmp_path / "out"))
     assert (read, kept) == (4, 2) and ingest.read_reports(spark, str(tmp_path / "out")).select("_file", "_row").count() == 2
     with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
         z.writestr("c.csv", head + "\n" + rows[0])
-    assert ingest.unzip_csv(spark, str(tmp_path / "c.zip")).count() == 2
+        z.writestr("readme.txt", "x")
+    (tmp_path / "d.csv.zst").write_bytes(zstandard.compress("\r\n".join([head, rows[0].replace("CHIEF", "A\u2028B\x0b"), rows[2]]).encode()))
+    zipped, packed = (ingest.to_canonical(ingest.read_archives(spark, str(tmp_path / f))).collect() for f in ("c.zip", "d.csv.zst"))
+    assert zipped == ingest.to_canonical(ingest.read_day_csv(spark, str(tmp_path / "a.csv"))).where("mmsi = 316000001").collect()
+    assert [r["vessel_name"] for r in packed] == ['RAY "A\u2028B\x0b" TONEY', None]
+    with zipfile.ZipFile(tmp_path / "two.zip", "w") as z:
+        z.writestr("c.csv", head)
+        z.writestr("d.CSV", head)
+    with pytest.raises(Exception, match="2 found"):
+        ingest.read_archives(spark, str(tmp_path / "two.zip")).collect()
     days = ingest.configured_days(date(2023, 7, 1), date(2023, 7, 3), [(date(2023, 7, 3), date(2023, 7, 4))])
     assert len(days) == 4 and ingest.pending_days(spark, days, spark.createDataFrame([(date(2023, 7, 2),)], "day date")).count() == 3
 
 
+def test_ingest_loop_goes_on_after_a_bad_day(spark, tmp_path):
+    names = ",".join(ingest.HEADER_NAMES)
+    good = f"{names}\n316000009,2023-07-01 00:00:00,42.0,-83.0" + ",1" * 12 + ",A\n"
+    days = [date(2023, 7, d) for d in (1, 2, 3)]
+    for d, text in zip(days, (good, "x,y\n1,2\n", good)):
+        (tmp_path / f"{d}.csv").write_text(text)
+    run = lambda: {r["day"].day: (r["rows_kept"], bool(r["error"])) for r in ingest.ingest_pending(spark, days, lambda d: str(tmp_path / f"{d}.csv"), str(tmp_path / "out"), str(tmp_path / "manifest")).collect()}
+    assert run() == {1: (1, False), 2: (None, True), 3: (1, False)}
+    assert {r["day"].day for r in ingest.pending_days(spark, days, ingest.read_manifest(spark, str(tmp_path / "manifest"))).collect()} == {2}
+    (tmp_path / "2023-07-02.csv").write_text(good)
+    assert run() == {1: (1, False), 2: (1, False), 3: (1, False)} and ingest.read_reports(spark, str(tmp_path / "out")).count() == 3
+
+
+def test_missing_state_is_an_error_and_verdict_by_horizon(spark):
+    s = spark.createDataFrame([("s1", "v1", 1), ("s2", "v2", 2)], "sample_id string, voyage_id string, t0 long")
+    t = spark.createDataFrame([("v1", 1, 0.5)], "voyage_id string, t long, f_lat double")
+    assert tracking.with_states(s.where("sample_id = 's1'"), t, ["f_lat"]).collect()[0]["f_lat"] == 0.5
+    with pytest.raises(Exception, match="no filter state for sample s2"):
+        tracking.with_states(s, t, ["f_lat"]).collect()
+    rows = [(m, f"s{k}", f"v{k % 7}", h, e + 0.01 * k) for k in range(40) for m, h, e in (("dead_reckoning", 15, 2.0), ("knn", 15, 1.0), ("dead_reckoning", 60, 3.0), ("knn", 60, 5.0), ("net", 15, 0.5), ("net", 60, 4.0))]
+    got = {r["horizon_min"]: r for r in evaluate.verdict(spark.createDataFrame(rows, "model string, sample_id string, voyage_id string, horizon_min int, error_km double"), "net", 100).collect()}
+    assert got[15]["best_baseline"] == "knn" and got[60]["best_baseline"] == "dead_reckoning"
+    assert abs(got[15]["point"] + 0.5) < 1e-9 and abs(got[60]["point"] - 1) < 1e-9 and got[60]["lo"] <= 1 + 1e-9 and got[60]["clusters"] == 7
+
+
+def test_a_long_voyage_does_not_widen_short_ones():
+    sizes = {"a": 3, "b": 5000, "c": 40, "d": 1, "e": 39}
+    v = pd.DataFrame({"voyage_id": [k for k, n in sizes.items() for _ in range(n)], "i": range(sum(sizes.values()))})
+    parts = list(tracking._of_like_length(v, 100))
+    assert [sorted(set(p["voyage_id"])) for p in parts] == [["b"], ["c", "e"], ["a", "d"]]
+    assert all(len(set(p["voyage_id"])) == 1 or len(set(p["voyage_id"])) * p["voyage_id"].value_counts().max() <= 100 for p in parts)
+    assert sorted(i for p in parts for i in p["i"]) == list(range(len(v))) and all(g["i"].is_monotonic_increasing for p in parts for _, g in p.groupby("voyage_id"))
+
+
+def test_gap_noise_widens_every_mode():
+    x, p, dt = np.zeros((1, 3, 5)), np.repeat(np.eye(5)[None, None], 3, 1), np.array([600.0])
+    plain, wide = (tracking.mode_steps(x, p, dt, tracking.ImmParameters(gap_q=q))[1] for q in (0.0, 1e-3))
+    extra = tracking.cv_step(600.0, 1e-3)[1]
+    assert np.allclose((wide - plain)[0, :, :4, :4], extra) and np.allclose((wide - plain)[0, :, 4, 4], 0)
+
+
 def test_export(spark, tmp_path):
     df = spark.createDataFrame([(1, float("nan")), (2, 1.23456789)], "a int, b double")
     assert [json.loads(r[0]) for r in export.json_rows(df).orderBy("json").collect()] == [{"a": 1}, {"a": 2, "b": 1.23457}]
