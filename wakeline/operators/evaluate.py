@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.geo import enu, haversine_m, with_latlon
-from wakeline.functions.stats import bootstrap_mean, bootstrap_median, chi2_2, gaussian_scores
+from wakeline.functions.stats import bootstrap_median, chi2_2, gaussian_scores
+
+
+#: Models that learn nothing from the errors of forecasts.
+BASELINES = ("dead_reckoning", "cv_kalman", "imm_switching", "imm_frozen", "knn")
+#: The cumulative Poisson distribution with mean 1, as far as a hash of 32 bits can tell.
+POISSON_1 = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
 
 
 def per_sample_scores(forecasts: DataFrame, truth: DataFrame) -> DataFrame:
@@ -44,10 +50,20 @@ def summarise_scores(scores: DataFrame, by: tuple[str, ...] = ("model", "horizon
 def cluster_intervals(df: DataFrame, value: str, cluster: str, by: tuple[str, ...], n_boot: int = 1000, seed: int = 0, stat: str = "mean") -> DataFrame:
     """Percentile intervals of a mean (or median) when whole clusters are resampled.
 
-    Spark reduces each cluster to its sum and count; one task for each group of `by` then resamples the clusters. For a
-    median the values themselves go along.
+    For a mean each cluster, reduced to its sum and count, gets a Poisson(1) weight in each of `n_boot` resamples, drawn by a
+    hash of seed, resample and cluster; sums are added up where the data are. For a median the values themselves go to
+    one task for each group of `by`.
     """
     per = df.groupBy(*by, cluster).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"), *([F.collect_list(value).alias("_v")] if stat == "median" else [])).where("_n > 0")
+    if stat == "mean":
+        point = per.groupBy(*by).agg(F.count("*").alias("clusters"), (F.sum("_s") / F.sum("_n")).alias("point"))
+        drawn = per.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(max(1, n_boot)))))
+        u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_r").cast("string"), F.col(cluster).cast("string"))), 1, 8), 16, 10).cast("double") / float(16**8)
+        drawn = drawn.withColumn("_w", sum((F.when(u >= c, 1).otherwise(0) for c in POISSON_1), F.lit(0)))
+        means = drawn.groupBy(*by, "_r").agg((F.sum(F.col("_w") * F.col("_s")) / F.nullif(F.sum(F.col("_w") * F.col("_n")), F.lit(0))).alias("_m"))
+        ends = means.groupBy(*by).agg(*(F.percentile("_m", F.lit(q)).alias(c) for c, q in (("lo", 0.025), ("hi", 0.975))))
+        known = (F.col("clusters") > 1) & F.lit(n_boot > 0)
+        return point.join(ends, list(by)).select(*by, "clusters", "point", *(F.when(known, F.col(c)).alias(c) for c in ("lo", "hi")))
     kinds = dict(df.dtypes)
     schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", clusters long, point double, lo double, hi double"
 
@@ -55,7 +71,7 @@ def cluster_intervals(df: DataFrame, value: str, cluster: str, by: tuple[str, ..
         import pandas as pd
 
         part = part.sort_values(cluster)
-        out = bootstrap_mean(part["_s"].to_numpy(float), part["_n"].to_numpy(float), n_boot, seed) if stat == "mean" else bootstrap_median([np.sort(np.array(v)) for v in part["_v"]], n_boot, seed)
+        out = bootstrap_median([np.sort(np.array(v)) for v in part["_v"]], n_boot, seed)
         return pd.DataFrame([[*key, len(part), *(None if math.isnan(x) else x for x in out)]], columns=[*by, "clusters", "point", "lo", "hi"])
 
     return per.groupBy(*by).applyInPandas(resample, schema)
@@ -67,6 +83,17 @@ def paired_differences(scores: DataFrame, a: str, b: str) -> DataFrame:
     return one(a, "_a").join(one(b, "_b").drop("voyage_id"), ["sample_id", "horizon_min"]).select("sample_id", "voyage_id", "horizon_min", (F.col("_a") - F.col("_b")).alias("diff_km"))
 
 
+def verdict(scores: DataFrame, model: str, n_boot: int = 1000) -> DataFrame:
+    """For each horizon the baseline with the least mean error on these scores, and how far `model` lies from it: the mean
+    difference with its interval (clusters are voyages), and the share of the baseline's error."""
+    per = scores.where(F.col("model").isin(*BASELINES)).groupBy("horizon_min", "model").agg(F.avg("error_km").alias("e"))
+    best = per.groupBy("horizon_min").agg(F.min_by("model", F.struct("e", "model")).alias("best_baseline"), F.min("e").alias("baseline_km"))
+    own = scores.where(F.col("model") == model).select("sample_id", "voyage_id", "horizon_min", F.col("error_km").alias("_a"))
+    base = scores.join(F.broadcast(best), "horizon_min").where(F.col("model") == F.col("best_baseline")).select("sample_id", "horizon_min", F.col("error_km").alias("_b"))
+    d = own.join(base, ["sample_id", "horizon_min"]).withColumn("diff_km", F.col("_a") - F.col("_b"))
+    return best.join(cluster_intervals(d, "diff_km", "voyage_id", ("horizon_min",), n_boot), "horizon_min").withColumn("share", F.col("point") / F.col("baseline_km"))
+
+
 def best_model(scores: DataFrame) -> DataFrame:
     """The model with the least mean error over the horizons."""
     per = scores.groupBy("model", "horizon_min").agg(F.avg("error_km").alias("e"))

@@ -34,12 +34,14 @@ def truth_at(asked: DataFrame, points: DataFrame, bracket_s: float, key: str = "
     voyage's first fix. Asked times and fixes are merged on one window, so no range join is needed.
     """
     w = Window.partitionBy(key).orderBy("us", "kind")
-    back, forth = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # The fix after a time is the last one backwards: a frame that shrinks towards the end would be walked for every row.
+    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    forth = Window.partitionBy(key).orderBy(F.desc("us"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
     fix = F.struct("us", "lat", "lon")
     p = points.select(key, micros("t").alias("us"), F.lit(0).alias("kind"), "lat", "lon")
     q = asked.select(key, F.col("at_us").alias("us"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon")).distinct()
     m = p.unionByName(q).withColumn("_f", F.when(F.col("kind") == 0, fix))
-    m = m.select(key, "us", "kind", F.last("_f", True).over(back).alias("a"), F.first("_f", True).over(forth).alias("z"), F.first("_f", True).over(Window.partitionBy(key).orderBy("us", "kind").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("o"))
+    m = m.select(key, "us", "kind", F.last("_f", True).over(back).alias("a"), F.last("_f", True).over(forth).alias("z"), F.first("_f", True).over(Window.partitionBy(key).orderBy("us", "kind").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("o"))
     m = m.where("kind = 1")
     hit = F.col("a.us") == F.col("us")
     ok = F.coalesce(hit | ((F.col("us") - F.col("a.us") <= int(bracket_s * 1e6)) & (F.col("z.us") - F.col("us") <= int(bracket_s * 1e6))), F.lit(False))

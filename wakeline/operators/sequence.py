@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -39,10 +38,10 @@ def runs(df: DataFrame, flag: str, max_gap_s: float, key: Sequence[str] = KEY, n
 
 def bridge(df: DataFrame, flag: str, max_s: float, key: Sequence[str] = KEY) -> DataFrame:
     """Flag unflagged rows between two flagged ones at most max_s apart."""
-    w = by_time(key)
     at = F.when(F.col(flag), micros("t"))
-    before = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(at, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    before = F.last(at, ignorenulls=True).over(by_time(key).rowsBetween(Window.unboundedPreceding, -1))
+    # Backwards in time, as a frame that shrinks towards the end would be walked again for every row.
+    after = F.last(at, ignorenulls=True).over(Window.partitionBy(*key).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1))
     return df.withColumn("_b", before).withColumn("_a", after).withColumn(flag, F.col(flag) | F.coalesce((F.col("_a") - F.col("_b")) / 1e6 <= max_s, F.lit(False))).drop("_a", "_b")
 
 
@@ -58,8 +57,4 @@ def decimate(df: DataFrame, most: int, key: Sequence[str]) -> DataFrame:
 
 def seeded_sample(df: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:
     """n rows without replacement, the same ones however the data are partitioned."""
-    return df.orderBy(F.xxhash64(*ids, F.lit(seed)), *ids).limit(n)
-
-
-def all_of(flags: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, flags)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in ids))), *ids).limit(n)

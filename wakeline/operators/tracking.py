@@ -43,6 +43,8 @@ class ImmParameters:
     sojourn_s: tuple[float, ...] = (1800.0, 600.0, 300.0)
     clutter: float = 5.0e-11  # outliers per m2
     most_rejects: int = 2
+    gap_q: float = 0.0  # extra process noise of every mode for steps longer than gap_s
+    gap_s: float = 180.0
     switch: tuple[tuple[float, ...], ...] = ((0.0, 0.7, 0.3), (0.3, 0.0, 0.7), (0.2, 0.8, 0.0))
 
 
@@ -248,7 +250,9 @@ def mode_steps(x: np.ndarray, p: np.ndarray, dt: np.ndarray, prm: ImmParameters)
     f[:, 1], q[:, 1] = cv_steps(dt, np.full(v, prm.q_cruise), 5)
     f[:, 1, 4, 4] = 0.0
     q[:, 2] = cv_steps(dt, np.full(v, prm.q_turn), 5)[1]
-    q[:, :2, 4, 4], q[:, 2, 4, 4] = 1e-10, prm.q_omega * dt
+    q[:, :2, 4, 4], q[:, 2, 4, 4] = 1e-12, prm.q_omega * dt
+    if prm.gap_q:
+        q += cv_steps(dt, np.where(dt > prm.gap_s, prm.gap_q, 0.0), 5)[1][:, None]
     y[:, 2], f[:, 2] = turn(x[:, 2], dt)
     y[:, :2] = (f[:, :2] @ x[:, :2, :, None])[..., 0]
     return y, f @ p @ f.swapaxes(-1, -2) + q, f
@@ -384,6 +388,20 @@ def track_voyages(v: pd.DataFrame, cv: CvParameters, imm: ImmParameters, states:
     return pd.DataFrame({c.split(" ")[0]: out[c.split(" ")[0]] for c in TRACK_SCHEMA.split(", ")})
 
 
+def _of_like_length(v: pd.DataFrame, most: int | None = None):
+    """The voyages of a frame, long before short, in parts of at most `most` padded cells (voyages times the longest), so that
+    a long voyage does not widen the arrays of many short ones; a single voyage may have more."""
+    most = PADDED_CELLS if most is None else most
+    names = v["voyage_id"].to_numpy()
+    first = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+    size = np.diff(np.append(first, len(v)))
+    order, at = np.argsort(-size, kind="stable"), 0
+    while at < len(order):
+        take = order[at : at + max(1, most // int(size[order[at]]))]
+        at += len(take)
+        yield v.iloc[np.concatenate([np.arange(first[k], first[k] + size[k]) for k in take])].reset_index(drop=True)
+
+
 def _chunks(batches, most: int):
     """Whole voyages of a stream sorted by voyage, `most` rows or one voyage at a time at least."""
     held: list[pd.DataFrame] = []
@@ -402,6 +420,7 @@ def _chunks(batches, most: int):
 
 
 CHUNK_ROWS = 20_000
+PADDED_CELLS = 40_000  # of (voyage, fix) arrays that are filtered in step
 
 
 def _by_voyage(points: DataFrame) -> DataFrame:
@@ -415,7 +434,8 @@ def track_all(points: DataFrame, cv: CvParameters | None = None, imm: ImmParamet
 
     def run(batches):
         for v in _chunks(batches, CHUNK_ROWS):
-            yield track_voyages(v, cv, imm, states)
+            for part in _of_like_length(v):
+                yield track_voyages(part, cv, imm, states)
 
     return _by_voyage(points).mapInPandas(run, TRACK_SCHEMA)
 
@@ -423,10 +443,17 @@ def track_all(points: DataFrame, cv: CvParameters | None = None, imm: ImmParamet
 FORECAST_SCHEMA = "model string, sample_id string, horizon_min int, lat0 double, lon0 double, me double, mn double, cee double, cnn double, cen double"
 
 
+def with_states(samples: DataFrame, tracks: DataFrame, columns: list[str]) -> DataFrame:
+    """Samples with the filter states at their start; one without a state stops the job with an error."""
+    j = samples.join(tracks.select("voyage_id", F.col("t").alias("t0"), *columns, F.lit(True).alias("_state")), ["voyage_id", "t0"], "left")
+    missing = F.raise_error(F.concat(F.lit("no filter state for sample "), F.col("sample_id"))).cast("string")
+    return j.withColumn("sample_id", F.when(F.col("_state").isNull(), missing).otherwise(F.col("sample_id"))).drop("_state")
+
+
 def imm_forecasts(samples: DataFrame, tracks: DataFrame, imm: ImmParameters | None = None, switch: bool = True) -> DataFrame:
     """Forecasts from the stored mode states; means move from the voyage's frame to the anchor's, covariances stay."""
     imm, name = imm or ImmParameters(), "imm_switching" if switch else "imm_frozen"
-    s = samples.select("voyage_id", "t0", "sample_id", "horizon_min", "lat0", "lon0").join(tracks.select("voyage_id", F.col("t").alias("t0"), "imm_mu", "imm_x", "imm_p", "ref_lat", "ref_lon"), ["voyage_id", "t0"])
+    s = samples.select("voyage_id", "t0", "sample_id", "horizon_min", "lat0", "lon0").transform(lambda x: with_states(x, tracks, ["imm_mu", "imm_x", "imm_p", "ref_lat", "ref_lon"]))
 
     def run(batches):
         for b in batches:
@@ -444,10 +471,11 @@ def tune(points: DataFrame, grid: list[CvParameters]) -> DataFrame:
 
     def run(batches):
         for v in _chunks(batches, CHUNK_ROWS):
-            t, z, vel, n, *_ = planes(v)
-            for i, c in enumerate(grid):
-                ll = run_cv_batch(t, z, vel, n, c).loglik
-                ll = np.logaddexp(ll[np.isfinite(ll)], math.log(OUTLIER_DENSITY))
-                yield pd.DataFrame({"candidate": [i], "s": [float(ll.sum())], "n": [len(ll)]})
+            for part in _of_like_length(v):
+                t, z, vel, n, *_ = planes(part)
+                for i, c in enumerate(grid):
+                    ll = run_cv_batch(t, z, vel, n, c).loglik
+                    ll = np.logaddexp(ll[np.isfinite(ll)], math.log(OUTLIER_DENSITY))
+                    yield pd.DataFrame({"candidate": [i], "s": [float(ll.sum())], "n": [len(ll)]})
 
     return _by_voyage(points).mapInPandas(run, "candidate int, s double, n long").groupBy("candidate").agg((F.sum("s") / F.sum("n")).alias("mean_loglik"), F.sum("n").alias("n"))

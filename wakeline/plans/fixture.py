@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wakeline.config import Config
 from wakeline.operators.clean import clean_points, vessel_group
 from wakeline.operators.context import Learned, learn
-from wakeline.operators.segment import assign_voyages, enrich, summarise_voyages
+from wakeline.operators.segment import assign_voyages, summarise_voyages
 
 CONFIG = Config.load(
     {
@@ -76,10 +76,5 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_voyages(cleaned(spark, sf_dir), CONFIG.segment).withColumn("vessel_group", vessel_group())
 
 
-def split_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = assign_voyages(cleaned(spark, sf_dir), CONFIG.segment)
-    return enrich(p, summarise_voyages(p, CONFIG))
-
-
 def context(spark: SparkSession, sf_dir: str) -> Learned:
     return learn(points(spark, sf_dir), CONFIG.context, CONFIG.region)

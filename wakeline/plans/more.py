@@ -35,7 +35,7 @@ def nis_report(s, d):
 
 def filter_forecasts(s, d):
     t, x = tracks(s, d, True), sample_rows(s, d)
-    f = x.join(t.select("voyage_id", F.col("t").alias("t0"), *(c for c in t.columns if c.startswith("f_"))), ["voyage_id", "t0"])
+    f = tracking.with_states(x, t, [c for c in t.columns if c.startswith("f_")])
     cv = samples.constant_velocity(f, CV.q)
     both = cv.unionByName(tracking.imm_forecasts(x, t, IMM, True)).unionByName(tracking.imm_forecasts(x, t, IMM, False))
     return rounded(evaluate.summarise_scores(evaluate.per_sample_scores(both, x.select(*TRUTH))), 4)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from wakeline.config import MMSI_RANGE
 from wakeline.functions.geo import EARTH_RADIUS_M, KM_PER_DEGREE, KNOT_MS, WGS84_A, WGS84_E2
+from wakeline.operators.evaluate import POISSON_1
 from wakeline.plans.fixture import CONFIG, FIXES, RAW
 
 C = CONFIG.context
@@ -223,6 +224,12 @@ SQL: dict[str, str] = {
     "paired_difference": query("select horizon_min, count(*) n, round(avg(diff), 5) mean_diff_km from paired group by 1"),
     "manoeuvre_stats": query("select " + r(*(f"quantile_cont({c}, {p}) as {c}_p{int(100 * p)}" for c in ("sog_kn", "turn", "hours") for p in (0.05, 0.5, 0.95)), digits=5) + f" from (select sog_kn, abs(((cog_deg - lag(cog_deg) over ({W}) + 180) % 360 + 360) % 360 - 180) turn, (us - lag(us) over ({W})) / 3.6e9 as hours from clean1)"),
     "decimated_track": query("select _row, mmsi from (select *, row_number() over (partition by mmsi order by us) - 1 k, count(*) over (partition by mmsi) n from points) where k % greatest(1, cast(ceil(n / 20) as bigint)) = 0"),
+    "seeded_sample": query("select _row from points order by md5('7:' || _row), _row limit 100"),
+    "bootstrap_ci": query(f"""select p.horizon_min, clusters, round(point, 6) point, round(lo, 6) lo, round(hi, 6) hi
+        from (select horizon_min, count(*) clusters, sum(s) / sum(n) point from (select horizon_min, voyage_id, sum(diff) s, count(*) n from paired group by 1, 2) c group by 1) p
+        join (select horizon_min, quantile_cont(m, 0.025) lo, quantile_cont(m, 0.975) hi from (select horizon_min, g, sum(w * s) / sum(w * n) m from (
+          select *, {' + '.join(f"(case when cast('0x' || substr(md5('0:' || g || ':' || voyage_id), 1, 8) as bigint) / {float(16**8)} >= {c!r}e0 then 1 else 0 end)" for c in POISSON_1)} w
+          from (select horizon_min, voyage_id, sum(diff) s, count(*) n from paired group by 1, 2) c cross join (select unnest(range(1, 1001)) g) gs) x group by 1, 2) y group by 1) q on q.horizon_min = p.horizon_min"""),
     "embedding_neighbours": """select query_id, vec_id, round(distance, 4) distance, cast(rank as integer) rank from (select a.vec_id query_id, b.vec_id, list_distance(cast(a.embedding as double[]), cast(b.embedding as double[])) distance,
         row_number() over (partition by a.vec_id order by list_distance(cast(a.embedding as double[]), cast(b.embedding as double[])), b.vec_id) rank from embeddings a join embeddings b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id) where rank <= 5""",
 }

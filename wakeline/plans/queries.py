@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.geo import cell, course_bin, edge_km, enu, sog_cog, velocity, with_latlon
 from wakeline.operators import clean, context, detectors, evaluate, samples, segment, sequence
-from wakeline.plans.fixture import CONFIG, cleaned, fixes, points, raw, split_points, voyages
+from wakeline.plans.fixture import CONFIG, cleaned, fixes, points, raw, voyages
 from wakeline.plans.fixture import context as learned
 
 ORIGIN = CONFIG.region.origin

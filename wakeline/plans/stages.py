@@ -69,7 +69,7 @@ def _forecasts(spark: SparkSession, root: str, config: Config, split: str) -> tu
     p, prm, origin = read(spark, root, "points").where("usable"), config.prediction, config.region.origin
     own, train = p.where(F.col("split") == split), p.where("split = 'train'")
     s, t = samples.build_samples(own, prm), read(spark, root, "tracks")
-    at = s.join(t.select("voyage_id", F.col("t").alias("t0"), *(c for c in t.columns if c.startswith("f_"))), ["voyage_id", "t0"])
+    at = tracking.with_states(s, t, [c for c in t.columns if c.startswith("f_")])
     dr = samples.dead_reckoning(s)
     library = analogs.build_library(train, origin, prm, 300.0, [300 * i for i in range(1, 37)])
     rows = learned.fit(learned.features(samples.build_samples(train, prm), train))
@@ -84,7 +84,9 @@ def evaluate_stage(spark: SparkSession, root: str, config: Config) -> None:
     export.write_points(evaluate.per_sample_scores(fc, truth), f"{root}/val_raw")
     raw = read(spark, root, "val_raw")
     export.write_points(evaluate.cov_scales(raw), f"{root}/cov_scales")
-    export.write_points(evaluate.best_model(raw), f"{root}/choices")
+    own = F.col("model").isin(*evaluate.BASELINES)
+    best = [evaluate.best_model(raw.where(cond)).withColumn("role", F.lit(role)) for role, cond in (("baseline", own), ("learned", ~own))]
+    export.write_points(detectors.all_events(best), f"{root}/choices")
     export.write_points(evaluate.summarise_scores(evaluate.per_sample_scores(evaluate.with_cov_scale(fc, read(spark, root, "cov_scales")), truth)), f"{root}/val_summary")
 
 
@@ -98,10 +100,9 @@ def holdout(spark: SparkSession, root: str, config: Config) -> None:
     v = read(spark, root, "voyages")
     fresh = v.join(segment.unseen_vessels(v), "mmsi", "left_semi").select("voyage_id")
     export.write_points(evaluate.summarise_scores(s.join(fresh, "voyage_id", "left_semi")), f"{root}/test_unseen")
-    chosen = read(spark, root, "choices").first()
+    chosen = read(spark, root, "choices").where("role = 'learned'").first()
     if chosen:
-        d = evaluate.paired_differences(s, chosen["model"], "dead_reckoning")
-        export.write_points(evaluate.cluster_intervals(d, "diff_km", "voyage_id", ("horizon_min",), config.prediction.n_boot), f"{root}/verdict")
+        export.write_points(evaluate.verdict(s, chosen["model"], config.prediction.n_boot), f"{root}/verdict")
 
 
 def tune(spark: SparkSession, root: str, config: Config, kind: str, grid: dict[str, Sequence], magnitudes: Sequence[float], span_min: Callable[[float], float], n: int = 60) -> DataFrame:
