@@ -44,13 +44,13 @@ def neighbours(samples: DataFrame, library: DataFrame, origin: tuple[float, floa
     s = _features(s, origin, p).withColumn("_g", F.explode(F.array(*(F.struct((F.col("_x") + i).alias("x"), (F.col("_y") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)))))
     j = s.join(library, (F.col("_g.x") == F.col("l_x")) & (F.col("_g.y") == F.col("l_y")))
     d = F.sqrt(sum((F.pow(F.col(c) - F.col(f"l{c}"), 2) for c in ("_e", "_n", "_s", "_c")), F.lit(0.0)))
-    j = j.select("sample_id", "sog_kn", "library_id", "v_n", "future", d.alias("d")).where(F.col("d") < MAX_DISTANCE)
+    j = j.select("sample_id", "sog_kn", "library_id", "v_n", d.alias("d")).where(F.col("d") < MAX_DISTANCE)
     return j.withColumn("rank", F.row_number().over(Window.partitionBy("sample_id").orderBy("d", "library_id"))).where(F.col("rank") <= p.k)
 
 
 def knn_forecast(samples: DataFrame, library: DataFrame, fallback: DataFrame, origin: tuple[float, float], p: Prediction) -> DataFrame:
     """Weighted mean and scatter of the neighbours' time-warped futures; the fallback's row where there are too few."""
-    near = neighbours(samples, library, origin, p)
+    near = neighbours(samples, library, origin, p).join(library.select("library_id", "future"), "library_id")  # futures only for the ranked
     ratio = F.least(F.greatest(F.col("sog_kn") / F.greatest("v_n", F.lit(0.1)), F.lit(RATIO[0])), F.lit(RATIO[1]))
     near = near.withColumn("ratio", ratio).join(samples.select("sample_id", "horizon_min"), "sample_id").withColumn("ask", F.col("horizon_min") * 60 * F.col("ratio"))
     after = F.try_element_at(F.filter("future", lambda f: f["ahead"] > F.col("ask")), F.lit(1))

@@ -43,11 +43,18 @@ FILTER_SCHEMA = "mmsi long, t timestamp, f_lat double, f_lon double, f_ve double
 STATE_SCHEMA = "t double, lat0 double, lon0 double, x array<double>, p array<double>"
 
 
-def filter_stream(stream: DataFrame, prm: CvParameters | None = None, silence_s: float = 1800.0) -> DataFrame:
-    """Constant-velocity states of each vessel as reports arrive; a long silence starts anew. Late reports are skipped."""
+def filter_stream(stream: DataFrame, prm: CvParameters | None = None, silence_s: float = 1800.0, late: str = "10 minutes", keep_s: float = 86400.0) -> DataFrame:
+    """Constant-velocity states of each vessel as reports arrive; a long silence starts anew. Reports older than a
+    vessel's last are skipped, and those beyond the watermark `late` are dropped.
+
+    The state of a vessel is dropped when the watermark is `keep_s` past its last report.
+    """
     prm = prm or CvParameters()
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         old = state.get if state.exists else None
         last, lat0, lon0 = (old[0], old[1], old[2]) if old else (None, 0.0, 0.0)
         x, p = (np.array(old[3]), np.array(old[4]).reshape(4, 4)) if old else (None, None)
@@ -76,6 +83,7 @@ def filter_stream(stream: DataFrame, prm: CvParameters | None = None, silence_s:
             rows.append((key[0], v.t, float(lat), float(lon), x[2], x[3], nis))
         if last is not None:
             state.update((last, lat0, lon0, x.tolist(), p.ravel().tolist()))
+            state.setTimeoutTimestamp(int((last + keep_s) * 1000))
         yield pd.DataFrame(rows, columns=["mmsi", "t", "f_lat", "f_lon", "f_ve", "f_vn", "nis"])
 
-    return stream.groupBy("mmsi").applyInPandasWithState(run, FILTER_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark("t", late).groupBy("mmsi").applyInPandasWithState(run, FILTER_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
