@@ -192,6 +192,13 @@ def test_missing_state_is_an_error_and_verdict_by_horizon(spark):
     assert abs(got[15]["point"] + 0.5) < 1e-9 and abs(got[60]["point"] - 1) < 1e-9 and got[60]["lo"] <= 1 + 1e-9 and got[60]["clusters"] == 7
 
 
+def test_pick_of_settings(spark):
+    pick = lambda rows: {r["settings"]: (r["eligible"], r["chosen"]) for r in evaluate.pick_setting(spark.createDataFrame(rows, "settings string, precision double, recall double, base_per_1000_h double, own boolean")).collect()}
+    now = ("now", 0.95, 0.6, 2.0, True)
+    assert pick([now, ("a", 1.0, 0.9, 2.1, False), ("b", 0.9, 0.8, 2.0, False), ("c", 0.99, 0.8, 1.0, False), ("d", 0.89, 0.99, 0.1, False)]) == {"now": (True, False), "a": (False, False), "b": (True, False), "c": (True, True), "d": (False, False)}
+    assert pick([("now", 0.5, 0.6, 2.0, True), ("a", None, 0.9, 0.0, False)]) == {"now": (False, True), "a": (False, False)}
+
+
 def test_a_long_voyage_does_not_widen_short_ones():
     sizes = {"a": 3, "b": 5000, "c": 40, "d": 1, "e": 39}
     v = pd.DataFrame({"voyage_id": [k for k, n in sizes.items() for _ in range(n)], "i": range(sum(sizes.values()))})

@@ -100,6 +100,19 @@ def best_model(scores: DataFrame) -> DataFrame:
     return per.groupBy("model").agg(F.avg("e").alias("mean_km")).orderBy("mean_km", "model").limit(1)
 
 
+def pick_setting(rows: DataFrame, least_precision: float = 0.9) -> DataFrame:
+    """`rows` (a candidate each: precision, recall, base_per_1000_h, settings, own) with `eligible` and `chosen`.
+
+    Eligible are settings precise enough that alarm no more often than the present ones (`own`). The one with the highest
+    recall is chosen, then the lowest base rate; the present ones where none is eligible.
+    """
+    now = F.broadcast(rows.where("own").agg(F.min("base_per_1000_h").alias("_now")))
+    marked = rows.join(now).withColumn("eligible", F.coalesce((F.col("precision") >= least_precision) & (F.col("base_per_1000_h") <= F.col("_now") + 1e-9), F.lit(False))).drop("_now")
+    order = F.struct((~F.col("eligible")).alias("a"), F.when(F.col("eligible"), -F.col("recall")).alias("b"), F.when(F.col("eligible"), F.col("base_per_1000_h")).alias("c"), (~F.col("own")).alias("d"), F.col("settings").alias("e"))
+    best = F.broadcast(marked.agg(F.min(order).alias("_best")))
+    return marked.join(best).withColumn("chosen", order == F.col("_best")).drop("_best")
+
+
 def nis_consistency(tracks: DataFrame, nis: str = "nis", accepted: str = "accepted") -> DataFrame:
     """Mean, median and tail share of the normalised innovation squared, and the share of rejected fixes."""
     return tracks.where(F.col(nis).isNotNull()).agg(

@@ -106,19 +106,24 @@ def holdout(spark: SparkSession, root: str, config: Config) -> None:
 
 
 def tune(spark: SparkSession, root: str, config: Config, kind: str, grid: dict[str, Sequence], magnitudes: Sequence[float], span_min: Callable[[float], float], n: int = 60) -> DataFrame:
-    """Precision, recall and events of each candidate of a detector's settings, by injection into the validation split."""
+    """Precision, recall and base rate of each candidate of a detector's settings, by injection into the validation split.
+
+    The settings of `config` are a candidate too (`own`); `eligible` and `chosen` follow `evaluate.pick_setting`.
+    """
     p = read(spark, root, "points")
     ctx = learn(p.where("split = 'train'"), config.context, config.region).persist()
     own = p.where("split = 'val'").where(F.col("vessel_group").isin(*COMMERCIAL))
     chosen = inject.choose(own, kind, magnitudes, span_min, n, config.region)
-    parts = []
-    for values in itertools.product(*grid.values()):  # one plan for each candidate
+    parts, now = [], tuple(getattr(getattr(config, kind), k) for k in grid)
+    hours = detectors.vessel_hours(own).agg(F.sum("hours").alias("hours"))
+    for values in dict.fromkeys([now, *itertools.product(*grid.values())]):  # one plan for each candidate
         c = dataclasses.replace(config, **{kind: dataclasses.replace(getattr(config, kind), **dict(zip(grid, values)))})
         run = detector_set(c, ctx)[kind]
         rows = evaluate.precision_recall(inject.injection_study(own, chosen, kind, run, config.region))
         base = run(own).agg(F.count("*").alias("base_events"))
-        parts.append(rows.join(F.broadcast(base)).withColumn("settings", F.lit(json.dumps(dict(zip(grid, values))))))
-    return detectors.all_events(parts)
+        rows = rows.join(F.broadcast(base)).join(F.broadcast(hours)).withColumn("base_per_1000_h", 1000 * F.col("base_events") / F.col("hours")).drop("hours")
+        parts.append(rows.withColumn("settings", F.lit(json.dumps(dict(zip(grid, values))))).withColumn("own", F.lit(values == now)))
+    return evaluate.pick_setting(detectors.all_events(parts))
 
 
 def showcase(voyages: DataFrame, per_group: int = 3, seed: int = 0) -> DataFrame:
