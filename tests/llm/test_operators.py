@@ -75,6 +75,57 @@ def test_license_scan_matches_brute_force(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def exact_licenses(text, threshold=license_scan.THRESHOLD):
+    """Every run at every place: the best, then the best of those that do not overlap it, and so on; no rest of a run with a better notice of its licence in it."""
+    words = [(w, k) for k, line in enumerate((text or "").split("\n"), 1) for w in license_scan.words_of(line)]
+    found, kept, sizes = [], [], [len(b) for _, b in license_scan.template_bigrams(license_scan.TEMPLATES)]
+    for k, (name, t) in enumerate(license_scan.TEMPLATES):
+        w = license_scan.words_of(t)
+        b = {*zip(w, w[1:])}
+        for start in range(1 - len(w), len(words)):
+            run = words[max(0, start) : start + len(w)]
+            own = {(x, y) for (x, _), (y, _) in zip(run, run[1:])}
+            dice = 2 * len(own & b) / (len(own) + len(b)) if own else 0
+            if dice >= threshold:
+                found.append(((dice, len(w), -max(0, start), -k, start), max(0, start), max(0, start) + len(run), (run[0][1], run[-1][1], name, round(dice, 6))))
+    for x in sorted(found, reverse=True):
+        most = x[0][1] - license_scan.shared_least(sizes[-x[0][3]], threshold)
+        wider = [y for y in found if y[0][3] == x[0][3] and y > x and abs(y[0][4] - x[0][4]) <= most]
+        if not any(z[1] < x[2] and x[1] < z[2] or z[3][2] == x[3][2] and z[0][1] < x[0][1] and any(y[1] <= z[1] and z[2] <= y[2] for y in wider) for z in kept):
+            kept.append(x)
+    return sorted(x[3] for x in kept)
+
+
+def test_license_scan_without_anchors(spark):
+    anchored = defaultdict(set)
+    for _, k, at in license_scan.anchors(license_scan.TEMPLATES):
+        anchored[k].add(at)
+    r, rows = random.Random(5), []
+    for k, (_, t) in enumerate(license_scan.TEMPLATES):  # long ones without any of their anchors, alone and in a text
+        w = license_scan.words_of(t)
+        if len(w) > 50:
+            lost = ["other" if j in anchored[k] else x for j, x in enumerate(w)]
+            rows += [(100 + k, " ".join(lost)), (400 + k, f"{sentence(k, 30)}\n{' '.join(lost[:30])}\n{' '.join(lost[30:])} {sentence(k + 1, 30)}")]
+    for i in range(1000, 1080):  # words replaced, set in and left out, cut at the ends, side by side
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            w = license_scan.words_of(r.choice(license_scan.TEXTS if r.random() < 0.5 else license_scan.TEMPLATES)[1])
+            for _ in range(r.randint(0, max(1, len(w) // 15))):
+                j = r.randrange(len(w))
+                w[j : j + r.randint(0, 1)] = r.choice([[], ["other"], ["the"], [r.choice(w)]])
+            parts += w[r.choice([0, 0, r.randint(0, len(w) // 8)]) : len(w) - r.choice([0, 0, r.randint(0, len(w) // 8)])] + sentence(i, r.choice([1, 20])).split()[: r.choice([0, 1, 20])]
+        rows.append((i, "".join(x + r.choice(["\n", " ", " ", ", "]) for x in parts)))
+    mit = license_scan.MIT[0]
+    apache = license_scan.TEMPLATES[0][1].replace("compliance", "accordance").replace("applicable", "any").replace("governing", "ruling")
+    rows += [(1999, apache.replace("Unless", f"\n{sentence(1, 2)}\nUnless")), (2000, f"{mit} {mit.replace('free of charge', 'without any charge').replace('deal', 'trade')} {mit}"), (2001, "copies of the software " * 400), (2002, f"{mit}\n" * 30), (2003, "")]
+    got = defaultdict(list)
+    for x in license_scan.scan_licenses(docs(spark, rows)).collect():
+        got[x["doc_id"]].append((x["line"], x["last_line"], x["license"], x["dice"]))
+    for i, t in rows:
+        assert sorted(got[i]) == exact_licenses(t), i
+    assert all(got[i] for i, _ in rows if i < 1000) and len(got[1999]) == 1 and len(got[2000]) == 3 and len(got[2002]) == 30
+
+
 # html
 
 

@@ -2,12 +2,14 @@
 
 Everything is DataFrame functions. A text is normalised (lower case, every run of characters that are no letters or digits
 becomes one space), each word keeping its line, so that a licence is found however it is wrapped, indented or marked as a
-comment. Each template has a few anchors, its rarest words with their places in it. Where a text has an anchor, the run
-of words that lies around it as the template does is compared with the template by the sets of word bigrams. Sizes prune
-first: with sets of a and b bigrams the coefficient is at most 2 min(a, b) / (a + b), so a run that the text's ends cut
-to less than t / (2 - t) of the template is passed over. Texts without any of a few words that every match must hold
+comment. A run is as many consecutive words as a template has, at any place (the text's ends cut it); it matches if the
+coefficient of the sets of word bigrams is at least t. All matching runs are found. With sets of a and b bigrams of which c
+are shared, 2 c / (a + b) >= t needs c >= t / (2 - t) * b, so a run is compared only if it holds that many bigrams of its
+template, counted by place; the count is never below c. Texts without any of a few words that every match must hold
 (derived from the templates) are passed over before that. The templates are a fixed list that stands in the plan as a
-literal. Of runs that overlap, the best one is reported: by coefficient, length, place and template.
+literal. Of runs that overlap, the best one is reported, by coefficient, length, place and template: the best of all, then
+the best that does not overlap it, and so on, so that a run is left out only for a better one that is reported. (What is
+left of a notice beside a shorter one of its licence, both at one better place of the same template, is no second place.)
 
 Edge cases: null, empty and wordless texts, and texts of a single word, match nothing; repeated rows are reported each;
 a null doc_id is kept; other columns are ignored; an empty table gives no rows.
@@ -16,13 +18,18 @@ a null doc_id is kept; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import math
 import re
+import zlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD, ANCHORS = 0.85, 3
+#: Places of the table of bigrams; a template's places in a text take so many bits.
+SLOTS, BITS = 4096, 40
+SPAN = 1 << BITS
 
 # Public licence texts, notices and names.
 MIT = (
@@ -147,7 +154,10 @@ def gate_words(known: list[tuple[str, list[str]]], threshold: float) -> list[str
 
 
 def anchors(templates: list[tuple[str, str]], most: int = ANCHORS) -> list[tuple[str, int, int]]:
-    """(word, template, place): of each part of a template, its word that the fewest templates have, long before short."""
+    """(word, template, place): of each part of a template, its word that the fewest templates have, long before short.
+
+    Only the SQL counterpart begins its runs there; scan_licenses compares every run that can match.
+    """
     texts = [words_of(t) for _, t in templates]
     spread: dict[str, int] = {}
     for w in texts:
@@ -163,6 +173,23 @@ def anchors(templates: list[tuple[str, str]], most: int = ANCHORS) -> list[tuple
     return sorted(out)
 
 
+def shared_least(b: int, threshold: float) -> int:
+    """How many of its b bigrams every match of a template shares."""
+    return max(1, math.ceil(b * threshold / (2 - threshold) - 1e-9))
+
+
+def bigram_slots(known: list[tuple[str, list[str]]]) -> list[list[dict]]:
+    """The bigrams by CRC-32, each with its templates."""
+    having: dict[str, list[int]] = {}
+    for k, (_, b) in enumerate(known):
+        for pair in b:
+            having.setdefault(pair, []).append(k)
+    out: list[list[dict]] = [[] for _ in range(SLOTS)]
+    for pair, ks in having.items():
+        out[zlib.crc32(pair.encode()) % SLOTS].append({"pair": pair, "ks": ks})
+    return out
+
+
 def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
@@ -180,31 +207,37 @@ def _literal(value: object, kind: str) -> Column:
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, line and last_line (from 1), license, dice: one row for each place where a licence stands."""
     templates = [(name, text) for name, text in templates or TEMPLATES if len(words_of(text)) > 1]
-    known, low = template_bigrams(templates), threshold / (2 - threshold)
-    # Literals: the templates by number, and for each anchor word the templates and its places in them.
-    listed = _literal([{"name": name, "b": b, "n": len(words_of(text))} for (name, b), (_, text) in zip(known, templates)], "array<struct<name:string,b:array<string>,n:int>>")
-    places: dict[str, list[dict[str, int]]] = {}
-    for word, k, at in anchors(templates):
-        places.setdefault(word, []).append({"k": k, "at": at})
-    lookup = _literal(places, "map<string,array<struct<k:int,at:int>>>")
+    known = template_bigrams(templates)
+    # Literals: the templates by number, and the bigrams with the templates that have them.
+    listed = _literal([{"name": name, "b": b, "n": len(words_of(text)), "least": shared_least(len(b), threshold)} for (name, b), (_, text) in zip(known, templates)], "array<struct<name:string,b:array<string>,n:int,least:int>>")
+    slots = _literal(bigram_slots(known), "array<array<struct<pair:string,ks:array<long>>>>")
     gate = gate_words(known, threshold)
 
     found = docs.where(F.exists(F.array(F.lower("text")), lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(w)) for w in gate))))
     worded = F.flatten(F.transform(F.split("text", "\n"), lambda t, i: F.transform(F.filter(F.split(normalised(t), " "), lambda w: w != ""), lambda w: F.struct(w.alias("word"), (i + 1).alias("line")))))
     found = found.select("doc_id", _once(worded).alias("_w")).where(F.size("_w") > 1)
-    hits = F.filter(F.transform("_w", lambda x, i: F.struct(x["word"].alias("word"), i.alias("i"))), lambda x: x["word"].isin(list(places)))
-    found = found.select("doc_id", "_w", _once(hits).alias("_hits")).where(F.size("_hits") > 0)
-    # A place of a template as one number, so that those of several anchors fall together: start * 65536 + template.
-    starts = F.array_distinct(F.flatten(F.transform("_hits", lambda h: F.transform(F.element_at(lookup, h["word"]), lambda a: (h["i"] - a["at"]).cast("long") * 65536 + a["k"]))))
     pairs = F.transform(F.slice("_w", F.lit(1), F.size("_w") - 1), lambda x, i: F.concat_ws(" ", x["word"], F.get(F.col("_w"), i + 1)["word"]))
-    found = found.select("doc_id", F.transform("_w", lambda x: x["line"]).alias("_lines"), _once(pairs).alias("_pairs"), starts.alias("_starts"))
-    found = found.select("doc_id", "_lines", "_pairs", _once(F.col("_starts")).alias("_starts"))
+    found = found.select("doc_id", F.transform("_w", lambda x: x["line"]).alias("_lines"), _once(pairs).alias("_pairs"))
+
+    # Template and place as one number, template * SPAN + SPAN / 2 + place, so that sorting brings a template's bigrams together.
+    def template(x: Column) -> Column:
+        return F.get(listed, F.shiftright(x, BITS).cast("int"))
+
+    def of_slot(p: Column, i: Column) -> Column:
+        own = F.filter(F.get(slots, F.pmod(F.crc32(p), F.lit(SLOTS)).cast("int")), lambda y: y["pair"] == p)
+        return F.flatten(F.transform(own, lambda y: F.transform(y["ks"], lambda k: k * SPAN + (SPAN // 2) + i)))
+
+    found = found.select("doc_id", "_lines", "_pairs", _once(F.sort_array(F.flatten(F.transform("_pairs", of_slot)))).alias("_at")).where(F.size("_at") > 0)
+    # From each bigram on: enough of them near enough for one run. Its start is at most the first of them, and at least what still reaches the last.
+    spans = F.transform("_at", lambda x, i: F.struct((F.get("_at", i + template(x)["least"] - 1) - template(x)["n"] + 2).alias("lo"), x.alias("hi")))
+    found = found.select("doc_id", "_lines", "_pairs", _once(F.filter(spans, lambda x: x["lo"] <= x["hi"])).alias("_spans")).where(F.size("_spans") > 0)
+    starts = F.flatten(F.transform("_spans", lambda x, j: F.sequence(F.greatest(x["lo"], F.get("_spans", j - 1)["hi"] + 1), x["hi"])))
+    found = found.select("doc_id", "_lines", "_pairs", _once(starts).alias("_starts"))
 
     def placed(x: Column) -> Column:
-        k, start = F.pmod(x, F.lit(65536)).cast("int"), F.floor(x / 65536).cast("int")
-        t = F.get(listed, k)
-        first, end = F.greatest(start, F.lit(0)), F.least(start + t["n"], F.size("_lines"))
-        return F.struct(first.alias("first"), end.alias("end"), k.alias("k"), t["n"].alias("n"), start.alias("start"))
+        k = F.shiftright(x, BITS).cast("int")
+        start, n = (F.pmod(x, F.lit(SPAN)) - SPAN // 2).cast("int"), F.get(listed, k)["n"]
+        return F.struct(F.greatest(start, F.lit(0)).alias("first"), F.least(start + n, F.size("_lines")).alias("end"), k.alias("k"), n.alias("n"), start.alias("start"))
 
     def compared(x: Column) -> Column:
         t = F.get(listed, x["k"])
@@ -212,11 +245,35 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
         same = F.get(F.transform(F.array(own), lambda b: 2.0 * F.size(F.array_intersect(b, t["b"])) / (F.size(b) + F.size(t["b"]))), F.lit(0))
         return F.struct(same.alias("dice"), x["n"].alias("n"), (-x["first"]).alias("at"), (-x["k"]).alias("rank"), x["start"].alias("start"), x["end"].alias("end"), t["name"].alias("license"))
 
-    runs = F.filter(F.transform("_starts", placed), lambda x: x["end"] - x["first"] - 1 >= F.greatest(F.lit(1), F.floor(F.size(F.get(listed, x["k"])["b"]) * low)))
-    found = found.select("doc_id", "_lines", _once(F.filter(F.transform(runs, compared), lambda x: x["dice"] >= threshold)).alias("_m")).where(F.size("_m") > 0)
-    rank = ("dice", "n", "at", "rank", "start")
-    better = lambda y, x: (-y["at"] < x["end"]) & (-x["at"] < y["end"]) & (F.struct(*(y[c] for c in rank)) > F.struct(*(x[c] for c in rank)))
-    found = found.select("doc_id", "_lines", F.explode(F.filter("_m", lambda x: ~F.exists("_m", lambda y: better(y, x)))).alias("_m"))
+    matching = F.filter(F.transform(F.transform("_starts", placed), compared), lambda x: x["dice"] >= threshold)
+    found = found.select("doc_id", "_lines", _once(matching).alias("_m")).where(F.size("_m") > 0)
+    # They stand by template and start; taken by place, they are cut where no template is long enough for two neighbours to overlap.
+    longest = max(len(words_of(text)) for _, text in templates)
+    found = found.select("doc_id", "_lines", "_m", _once(F.sort_array(F.transform("_m", lambda x, i: F.struct((-x["at"]).alias("first"), i.alias("i"))))).alias("_by"))
+    cuts = F.filter(F.sequence(F.lit(0), F.size("_by") - 1), lambda j: (j == 0) | (F.get("_by", j)["first"] - F.get("_by", j - 1)["first"] >= longest))
+    found = found.select("doc_id", "_lines", "_m", "_by", _once(cuts).alias("_cuts"))
+    groups = F.transform("_cuts", lambda c, j: F.transform(F.slice("_by", c + 1, F.coalesce(F.get("_cuts", j + 1), F.size("_by")) - c), lambda o: F.struct(F.get("_m", o["i"]).alias("run"), o["i"].alias("i"))))
+    meets = lambda y, x: (-y["at"] < x["end"]) & (-x["at"] < y["end"])
+    inside = lambda z, y: (z["at"] <= y["at"]) & (z["end"] <= y["end"])
+
+    def beside(z: Column, x: Column, i: Column) -> Column:
+        most = x["n"] - F.get(listed, -x["rank"])["least"]  # moved by more words, a run shares too little with the same place
+        others = F.slice("_m", F.greatest(i - most, F.lit(0)) + 1, 2 * most + 1)
+        return (z["license"] == x["license"]) & (z["n"] < x["n"]) & F.exists(others, lambda y: (y["rank"] == x["rank"]) & (y > x) & (F.abs(y["start"] - x["start"]) <= most) & inside(z, y))
+
+    def best_apart(group: Column) -> Column:
+        """Kept runs by cells as wide as the longest template: what overlaps a run, or lies beside it, is at most two cells away."""
+        cell = lambda run: F.floor((-run["at"] + F.get(group, F.lit(0))["run"]["at"]) / longest).cast("int")
+
+        def step(kept: Column, x: Column) -> Column:
+            close = F.flatten(F.slice(kept, F.greatest(cell(x["run"]) - 1, F.lit(1)), F.lit(5)))
+            with_x = F.transform(kept, lambda own, c: F.when(c == cell(x["run"]), F.array_append(own, x["run"])).otherwise(own))
+            return F.when(F.exists(close, lambda z: meets(z, x["run"]) | beside(z, x["run"], x["i"])), kept).otherwise(with_x)
+
+        none = F.transform(F.sequence(F.lit(0), cell(F.get(group, F.size(group) - 1)["run"])), lambda _: F.slice("_m", 1, 0))
+        return F.flatten(F.aggregate(F.sort_array(group, asc=False), none, step))
+
+    found = found.select("doc_id", "_lines", F.explode(F.flatten(F.transform(groups, best_apart))).alias("_m"))
     return found.select("doc_id", F.get("_lines", -F.col("_m.at")).alias("line"), F.get("_lines", F.col("_m.end") - 1).alias("last_line"), "_m.license", F.round("_m.dice", 6).alias("dice"))
 
 
