@@ -7,10 +7,13 @@ import math
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -681,6 +684,34 @@ def test_lm_probabilities_and_held_out_gain(spark):
     assert s[0] > 0.9 * s[1] and s[0] < 0 and s[0] > s[1]
 
 
+
+def test_lm_steps_hold_few_bytes_a_token(monkeypatch):
+    monkeypatch.setattr(lm_score, "SLICE", 1 << 14, raising=False)
+    rng, bits, n = np.random.default_rng(3), 50, 400_000
+    words = np.array([f"{x:06x}" for x in rng.integers(0, 1 << 24, 30_000)])
+    texts = [" ".join(words[rng.zipf(1.3, 1000) % len(words)]) for _ in range(n // 1000)]
+    chunk = lambda k, role: pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "role": pa.array([role] * len(texts), pa.int32()), "chunk": pa.array([k] * len(texts), pa.int64())})
+    packed = [lm_score._pack(chunk(k, role)) for k, role in enumerate((0, 1))]
+
+    def held(f, *a):
+        tracemalloc.start()
+        out = f(*a)
+        most.append(tracemalloc.get_traced_memory()[1] / n)
+        tracemalloc.stop()
+        return out
+
+    most = []
+    asked = [held(lambda p: pa.Table.from_batches(lm_score._ask(1, bits)(iter(p.to_batches()))), p) for p in packed]
+    asked = pa.concat_tables(asked)
+    answers = pa.concat_tables([lm_score._answer(1, bits)(asked.filter(pc.equal(asked.column("bucket"), b))) for b in range(lm_score.ORDERS)])
+    ours = [answers.filter(pc.equal(answers.column("chunk"), k)) for k in (0, 1)]
+    cells = held(lm_score._histogram(n, len(words), bits), packed[1], ours[1])
+    assert sum(cells.column("tokens").to_pylist()) == n + len(texts)
+    lam = lm_score.learn_weights([], len(words))
+    assert held(lm_score._score(lam, n, len(words), bits), packed[0], ours[0]).num_rows == len(texts)
+    assert max(most) < 90, most  # 50 to 63; 123 to 163 where a step held all of a chunk at once
+
+
 # mixing
 
 

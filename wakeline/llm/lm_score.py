@@ -10,7 +10,8 @@ Everything is counted over all documents, without a vocabulary limit. Documents
 compressed, one row a chunk. A chunk sends each of its different keys (hashes of words, pairs and triples) once, with its
 counts, as packed arrays to the bucket of the key. A bucket adds the counts up and answers each chunk with the totals of
 the keys it asked for, so that no table of n-grams is collected or broadcast, and a frequent word is a single entry of
-each chunk. Chunks and buckets grow in number with the corpus, not in size, and each is a partition of its own. A key has
+each chunk. Chunks and buckets grow in number with the corpus, not in size, and each is a partition of its own. A worker
+takes words, pairs and triples one after the other, sorts in place, and does its arithmetic in slices of a chunk. A key has
 as many bits as let two n-grams of the corpus share one with a chance of at most 2**-MARGIN (64 at most). The held-out
 statistics that reach the driver are a histogram over levels of counts, whose size does not depend on the corpus.
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import gc
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ from wakeline.llm.common import WordHash, materialise, mix
 
 PARTS, LEFT_OUT, HELD = 7, 2, 3  # of crc32(doc_id) modulo PARTS: never learned from; used for the weights first
 CHUNK_CHARS, BUCKET_CHARS, LEVELS, ROUNDS, MARGIN = 12_000_000, 24_000_000, 40, 60, 20
+SLICE = 1 << 18  # tokens of a chunk whose floating-point values are held at once
 _END, _START = (xxhash.xxh3_64_intdigest(x) for x in (b"\n", b"\n\n"))  # no word contains white space
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 ORDERS = 3
@@ -54,7 +56,7 @@ def key_bits(chars: int) -> int:
     return min(64, max(40, math.ceil(math.log2(chars + 1)) + MARGIN))
 
 
-def flat_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def flat_tokens(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(token hashes of all texts one after the other, first token of each text)."""
     hashes = WordHash()
     parts = [np.append(hashes.array(t.lower().split()), np.uint64(_END)) for t in texts]
@@ -62,25 +64,65 @@ def flat_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
 
 
-def contexts(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the token before each token and of the two before it; start tokens stand before a text."""
-    start = np.uint64(_START)
-    one = np.empty_like(flat)
-    one[1:], one[first] = flat[:-1], start
-    two = np.empty_like(flat)
-    two[1:], two[first] = one[:-1], start
-    return one, mix(two * _PAIR + one)
+def shifted(a: np.ndarray, first: np.ndarray, start) -> np.ndarray:
+    """What stands before each token of a text; `start` stands before the first."""
+    out = np.empty_like(a)
+    out[1:], out[first] = a[:-1], start
+    return out
 
 
-def keyed(flat: np.ndarray, first: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For words, pairs and triples: the sorted different keys, and the position of each token's key.
+def joined(context: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Hashes of contexts and the tokens behind them, in the place of the contexts."""
+    for a in range(0, len(own), SLICE):
+        context[a : a + SLICE] = mix(context[a : a + SLICE] * _PAIR + own[a : a + SLICE])
+    return context
+
+
+def keyed(flat: np.ndarray, first: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """For words, pairs and triples, one after the other: the key of each token. Behind those of words and of pairs stands
+    that of the context at the beginning of a text."""
+    start, away = np.array([_START], np.uint64), np.uint64(64 - bits)
+    own = np.append(flat, start)
+    own >>= away
+    yield own
+    pair, start = joined(shifted(flat, first, start[0]), flat), joined(start.copy(), start)
+    own = np.append(pair, start)
+    own >>= away
+    yield own
+    own = joined(shifted(pair, first, start[0]), flat)
+    del flat, pair
+    own >>= away
+    yield own
+
+
+def fresh(keys: np.ndarray) -> np.ndarray:
+    """Which of sorted keys differ from the one before."""
+    out = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=out[1:])
+    return out
+
+
+def different(keys: np.ndarray) -> np.ndarray:
+    """The sorted different keys; sorts what it is given."""
+    keys.sort()
+    return keys[fresh(keys)]
 
-    The last position of words and of pairs is that of the context at the beginning of a text.
-    """
-    one, two = contexts(flat, first)
-    start = np.array([_START], np.uint64)
-    own = (np.append(flat, start), np.append(mix(one * _PAIR + flat), mix(start * _PAIR + start)), mix(two * _PAIR + flat))
-    return [np.unique(k >> np.uint64(64 - bits), return_inverse=True) for k in own]
+
+def occurring(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted different keys and how often each occurs; sorts what it is given."""
+    keys.sort()
+    at = np.flatnonzero(fresh(keys))
+    return keys[at], np.diff(at, append=len(keys)).astype(np.uint32)
+
+
+def spread(keys: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The total of each key, from those of the sorted different keys."""
+    order = np.argsort(keys)
+    at = np.cumsum(fresh(keys[order]), dtype=np.int32)
+    at -= 1
+    out = np.empty(len(keys), total.dtype)
+    out[order] = total[at]
+    return out
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -111,34 +153,46 @@ def _pack(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([v], pa.binary() if i else pa.int64()) for i, v in enumerate(row)], names=["chunk", "ids", "named", "roles", "sizes", "texts"])
 
 
-def texts_of(row: dict) -> list[bytes]:
-    whole, end = zstd.decompress(row["texts"], max_output_size=1 << 40) if row["texts"] else b"", np.cumsum(unpack(row["sizes"], np.int64))
-    return [whole[a:b] for a, b in zip([0, *end.tolist()], end.tolist())]
+def packed_row(table: pa.Table | pa.RecordBatch, i: int) -> dict:
+    """A row of packed documents, without copies of its contents."""
+    return {c: table.column(c)[i].as_py() if c == "chunk" else table.column(c)[i].as_buffer() for c in table.schema.names}
+
+
+def texts_of(row: dict) -> Iterator[bytes]:
+    whole, start = zstd.decompress(row["texts"], max_output_size=1 << 40) if row["texts"] else b"", 0
+    for size in unpack(row["sizes"], np.int64).tolist():
+        yield whole[start : start + size]
+        start += size
 
 
 def _ask(buckets: int, bits: int):
-    def asked(row: dict) -> list[tuple]:
+    def asked(row: dict) -> pa.RecordBatch:
         flat, first = flat_tokens(texts_of(row))
-        role = unpack(row["roles"], np.uint8)
-        of, out = np.repeat(role, np.diff(np.append(first, len(flat)))), []
-        for kind, (keys, at) in enumerate(keyed(flat, first, bits)):
+        role, out = unpack(row["roles"], np.uint8), []
+        of = np.repeat(role, np.diff(np.append(first, len(flat))))
+        for kind, own in enumerate(keyed(flat, first, bits)):
             counts = []
             for r in (0, 1):
-                n = np.bincount(at[: len(flat)][of == r], minlength=len(keys))
+                mine = own[: len(flat)][of == r]
                 if kind < ORDERS - 1:  # the context at the beginning counts once a text
-                    n[at[-1]] = int((role == r).sum())
-                counts.append(n.astype(np.uint32))
+                    mine = np.append(mine, np.repeat(own[-1], (role == r).sum()))
+                counts.append(occurring(mine))
+                del mine
+            keys = different(own)
+            for k, (some, times) in enumerate(counts):
+                counts[k] = np.zeros(len(keys), np.uint32)
+                counts[k][np.searchsorted(keys, some)] = times
             edge = cuts(keys, buckets, bits)
             for b, (lo, hi) in enumerate(zip(edge, edge[1:])):
                 if hi > lo:
                     out.append((b * ORDERS + kind, row["chunk"], pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), pack(counts[0][lo:hi]), pack(counts[1][lo:hi])))
-        return out
+            del own, keys, counts, some, times
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "keys", "some", "held"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                out = asked({c: batch.column(c)[i].as_py() for c in batch.schema.names})
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "keys", "some", "held"])
+                yield asked(packed_row(batch, i))
 
     return run
 
@@ -153,12 +207,14 @@ def _answer(held_from: int, bits: int):
 
     def run(table: pa.Table) -> pa.Table:
         bucket, chunks = table.column("bucket")[0].as_py(), table.column("chunk").to_pylist()
-        keys = [np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
-        all_keys, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = [np.bincount(at, np.concatenate([unpack(x, np.uint32) for x in table.column(c).to_pylist()]), len(all_keys)) for c in ("some", "held")]
-        some, every = total[0], total[0] + total[1]
-        edge = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-        out = [(bucket, c, pack(some[at[a:b]].astype(np.uint32)) if c >= held_from else b"", pack(every[at[a:b]].astype(np.uint32)), 0, 0, 0, 0) for c, a, b in zip(chunks, edge, edge[1:])]
+        asked = lambda i: np.cumsum(unpack(table.column("keys")[i].as_py(), np.uint64), dtype=np.uint64)
+        all_keys = different(np.concatenate([asked(i) for i in range(len(chunks))]))
+        some, every, at = np.zeros(len(all_keys), np.int64), np.zeros(len(all_keys), np.int64), []
+        for i in range(len(chunks)):
+            at.append(np.searchsorted(all_keys, asked(i)).astype(np.uint32))
+            for total, c in ((some, "some"), (every, "some"), (every, "held")):
+                total[at[i]] += unpack(table.column(c)[i].as_py(), np.uint32)  # the keys of a chunk differ
+        out = [(bucket, c, pack(some[a].astype(np.uint32)) if c >= held_from else b"", pack(every[a].astype(np.uint32)), 0, 0, 0, 0) for c, a in zip(chunks, at)]
         if bucket % ORDERS == 0:
             word = all_keys != start
             out.append((bucket, -1, b"", b"", *(int(f(x[word])) for x in (some, every) for f in (np.sum, np.count_nonzero))))
@@ -171,14 +227,23 @@ def counted(row: dict, answers: pa.Table, which: str, bits: int) -> tuple[dict[s
     """For each token of a chunk the counts of the word, of the word before, of the pair, of the two before and of the triple;
     and the first token of each text."""
     flat, first = flat_tokens(texts_of(row))
-    rows = sorted(zip(answers.column("bucket").to_pylist(), answers.column(which).to_pylist()), key=lambda r: r[0])
-    total = [np.concatenate([np.zeros(0, np.uint32), *(unpack(x, np.uint32) for b, x in rows if b % ORDERS == kind)]).astype(np.float64) for kind in range(ORDERS)]
-    (_, word), (_, pair), (_, triple) = keyed(flat, first, bits)
-    before, last = np.empty(len(flat), np.int64), len(flat)
-    before[1:], before[first] = word[: last - 1], word[last]
-    behind = np.empty(len(flat), np.int64)
-    behind[1:], behind[first] = pair[: last - 1], pair[last]
-    return {"word": total[0][word[:last]], "before": total[0][before], "pair": total[1][pair[:last]], "two": total[1][behind], "triple": total[2][triple]}, first
+    place = sorted((b, i) for i, b in enumerate(answers.column("bucket").to_pylist()))
+    c = {}
+    for kind, (own, name, before) in enumerate(zip(keyed(flat, first, bits), ("word", "pair", "triple"), ("before", "two", None))):
+        total = np.concatenate([np.zeros(0, np.uint32), *(unpack(answers.column(which)[i].as_py(), np.uint32) for b, i in place if b % ORDERS == kind)])
+        n = spread(own, total)
+        c[name] = n[: len(flat)]
+        if before:
+            c[before] = shifted(c[name], first, n[-1])
+        del own
+    return c, first
+
+
+def sliced(c: dict[str, np.ndarray]) -> Iterator[tuple[slice, dict[str, np.ndarray]]]:
+    """The counts of some tokens after the other, for arithmetic."""
+    for a in range(0, len(c["word"]), SLICE):
+        s = slice(a, a + SLICE)
+        yield s, {k: x[s].astype(np.float64) for k, x in c.items()}
 
 
 def level(n: np.ndarray) -> np.ndarray:
@@ -198,19 +263,28 @@ def estimates(c: dict[str, np.ndarray], n: int, v: int) -> np.ndarray:
 
 
 CELL = ["bucket", "l3", "l2", "l1", "tokens", "log3", "log2", "log1"]
+SHAPE = (2 * LEVELS, LEVELS, LEVELS, LEVELS)
 
 
 def _histogram(n: int, v: int, bits: int):
     """Held-out tokens by weight bucket and levels of their counts, with the sums of the logarithms of their estimates."""
 
     def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = []
-        for row in packed.to_pylist():
-            c, _ = counted(row, answers, "some", bits)
-            cell, at = np.unique(np.column_stack([bucket_of(c), level(c["triple"]), level(c["pair"]), level(c["word"])]), axis=0, return_inverse=True)
-            logs = np.log(np.maximum(estimates(c, n, v)[:, :3], 1e-300))
-            rows.append((cell, np.bincount(at.ravel()), *(np.bincount(at.ravel(), logs[:, i]) for i in range(3))))
-        cols = [np.concatenate([r[0][:, i] for r in rows] or [np.zeros(0, np.int64)]) for i in range(4)] + [np.concatenate([r[i] for r in rows] or [np.zeros(0)]) for i in range(1, 5)]
+        cells, sums = [np.zeros(0, np.int64)], [np.zeros((4, 0))]
+
+        def add(cell: np.ndarray, values: list) -> tuple[np.ndarray, np.ndarray]:
+            cell, at = np.unique(cell, return_inverse=True)
+            return cell, np.array([np.bincount(at, x, len(cell)) for x in values])
+
+        for i in range(packed.num_rows):
+            c, _ = counted(packed_row(packed, i), answers, "some", bits)
+            for _, part in sliced(c):
+                logs = np.log(np.maximum(estimates(part, n, v)[:, :3], 1e-300))
+                cell, own = add(np.ravel_multi_index((bucket_of(part), *(level(part[k]) for k in ("triple", "pair", "word"))), SHAPE), [None, *logs.T])
+                cells.append(cell)
+                sums.append(own)
+        cell, own = add(np.concatenate(cells), np.concatenate(sums, axis=1))
+        cols = [*np.unravel_index(cell, SHAPE), *own]
         return pa.Table.from_arrays([pa.array(c.astype(np.int64 if i < 5 else np.float64)) for i, c in enumerate(cols)], names=CELL)
 
     return run
@@ -242,11 +316,15 @@ def learn_weights(hist: list[tuple], v: int) -> np.ndarray:
 def _score(lam: np.ndarray, n: int, v: int, bits: int):
     def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
         parts = []
-        for row in packed.to_pylist():
+        for i in range(packed.num_rows):
+            row = packed_row(packed, i)
             c, first = counted(row, answers, "every", bits)
-            p = (lam[bucket_of(c)] * estimates(c, n, v)).sum(1)
+            base, own = np.empty(len(c["word"])), np.empty(len(c["word"]))
+            for s, part in sliced(c):
+                base[s] = np.log10((part["word"] + 1) / (n + v + 1))
+                own[s] = np.log10((lam[bucket_of(part)] * estimates(part, n, v)).sum(1))
             add = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731
-            cols = [add((c["word"] > 0).astype(np.int64)), np.full(len(first), n, np.int64), add(np.log10((c["word"] + 1) / (n + v + 1))), add(np.log10(p))]
+            cols = [add((c["word"] > 0).astype(np.int64)), np.full(len(first), n, np.int64), add(base), add(own)]
             ids = pa.array(unpack(row["ids"], np.int64), mask=unpack(row["named"], np.uint8) == 0)
             parts.append(pa.Table.from_arrays([ids, pa.array(unpack(row["roles"], np.uint8) == 2), pa.array(np.diff(np.append(first, len(c["word"])))), *map(pa.array, cols)], names=SCORED))
         return pa.concat_tables(parts) if parts else pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64())], names=SCORED)
